@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warpweft.llm import canonical
+from warpweft.llm import canonical, groups
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +29,26 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.canonical_values(texts.unionByName(words)).drop("look_own")
 
 
+def _p3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of both tables, with a key that is the same in each run: of the sentence and word, or of the transcript."""
+    e = _t(spark, sf_dir, "eval_meta_2026_08_14").select(F.lit("eval_meta_2026_08_14").alias("table_name"), F.concat_ws("/", "sentence", "word_no").alias("row_key"), "episode")
+    r = _t(spark, sf_dir, "runpod_whisper_sample").select(F.lit("runpod_whisper_sample").alias("table_name"), F.col("asr_id").cast("string").alias("row_key"), "episode")
+    return e.unionByName(r)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = groups.named_groups(_p3_rows(spark, sf_dir), _t(spark, sf_dir, "episode_meta"))
+    return found.select("episode", F.col("group_episode").cast("string").alias("group_episode"))
+
+
+def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = [(r["split_name"], r["share"]) for r in _t(spark, sf_dir, "split_plan").limit(1000).collect()]
+    rows = _p3_rows(spark, sf_dir)
+    return groups.assign_splits(rows, "row_key", groups.named_groups(rows, _t(spark, sf_dir, "episode_meta")), plan)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_forms": p2_forms}
+    return {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_splits": p3_splits}
 
 
 def oracle_sql() -> dict[str, str]:
