@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warpweft.llm import canonical, groups
+from warpweft.llm import canonical, groups, passages
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,8 +47,33 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.assign_splits(rows, "row_key", groups.named_groups(rows, _t(spark, sf_dir, "episode_meta")), plan)
 
 
+def _p7_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find_passages(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "held_out_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p7_hits(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p7_hits(spark, sf_dir)
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source and suite: documents that leak, items leaked, and the mean share of the items' words found."""
+    docs, items = _t(spark, sf_dir, "documents").select("doc_id", "source"), _t(spark, sf_dir, "held_out_items").select("item_id", "suite")
+    named = _p7_hits(spark, sf_dir).join(docs, "doc_id").join(items, "item_id")
+    return named.groupBy("source", "suite").agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("item_id").alias("n_items"), F.avg(F.col("matched") / F.col("item_words")).alias("mean_share"))
+
+
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents left when those with a leak are removed."""
+    docs = _t(spark, sf_dir, "documents")
+    return passages.without_leaks(docs, _p7_hits(spark, sf_dir)).select("doc_id", "lang", "source", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_splits": p3_splits}
+    return {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_splits": p3_splits, "p7_found": p7_found, "p7_passages": p7_passages, "p7_report": p7_report, "p7_clean": p7_clean}
 
 
 def oracle_sql() -> dict[str, str]:
