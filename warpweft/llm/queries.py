@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warpweft.llm import canonical, groups, passages
+from warpweft.llm import canonical, groups, overlap, passages
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,22 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.assign_splits(rows, "row_key", groups.named_groups(rows, _t(spark, sf_dir, "episode_meta")), plan)
 
 
+def _p4_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    y = _t(spark, sf_dir, "yiexample")
+    train = F.col("split") == "train"
+    rows = y.where("split IN ('train', 'val', 'test')").select(F.when(train, "train").otherwise("eval").alias("side"), F.col("row_id").alias("id"), "text", "split", "source")
+    gold = _t(spark, sf_dir, "annotations_gold").select(F.lit("eval").alias("side"), F.col("ann_id").alias("id"), F.col("text_yi").alias("text"), F.lit("gold").alias("split"), F.lit("annotations_gold").alias("source"))
+    return overlap.linked_texts(rows.unionByName(gold))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlap_pairs(*_p4_links(spark, sf_dir))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlap_report(*_p4_links(spark, sf_dir))
+
+
 def _p7_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.find_passages(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "held_out_items"))
 
@@ -73,7 +89,7 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_splits": p3_splits, "p7_found": p7_found, "p7_passages": p7_passages, "p7_report": p7_report, "p7_clean": p7_clean}
+    return {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_report": p4_report, "p7_found": p7_found, "p7_passages": p7_passages, "p7_report": p7_report, "p7_clean": p7_clean}
 
 
 def oracle_sql() -> dict[str, str]:
