@@ -7,13 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warpweft.llm import canonical, groups, overlap, passages
+from warpweft.llm import canonical, consensus, groups, overlap, passages
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _p1_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.readings(_t(spark, sf_dir, "stress_tts"), _t(spark, sf_dir, "stress_votes"))
+
+
+def p1_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per_item = _p1_items(spark, sf_dir)
+    return consensus.consensus(per_item, consensus.fit(per_item)[0])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_items(spark, sf_dir).where("n_readings > 1").select("id", "ipa")
+
+
+def p1_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.reliability(consensus.fit(_p1_items(spark, sf_dir))[1])
+
+
 def _p2_values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     texts = canonical.long_values(_t(spark, sf_dir, "annotations_gold"), "ann_id", ["text_yi", "text_yi_pointed"])
     return texts, canonical.long_values(_t(spark, sf_dir, "g2p_gold_v3"), "rank", ["word"])
@@ -89,7 +106,7 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_report": p4_report, "p7_found": p7_found, "p7_passages": p7_passages, "p7_report": p7_report, "p7_clean": p7_clean}
+    return {"p1_found": p1_found, "p1_items": p1_items, "p1_annotators": p1_annotators, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_report": p4_report, "p7_found": p7_found, "p7_passages": p7_passages, "p7_report": p7_report, "p7_clean": p7_clean}
 
 
 def oracle_sql() -> dict[str, str]:
