@@ -38,19 +38,3 @@ def join_small_or_shuffle(left: DataFrame, right: DataFrame, on, how: str = "inn
     bounded = right.limit(max_rows + 1).count() <= max_rows
     return left.join(F.broadcast(right) if bounded else right, on, how)
 
-
-def join_lookup(left: DataFrame, lookup: DataFrame, key: str, weight: str, total: int, share: float = 0.001) -> DataFrame:
-    """Inner join of ``left`` with ``lookup``, which has one row per ``key``, when some keys are hot.
-
-    ``lookup[weight]`` counts the rows of ``left`` with that key and ``total`` is their sum. Keys with more than
-    ``share`` of all rows number at most ``1 / share``, so this slice of ``lookup`` may be broadcast
-    whatever the size of the data; its rows of ``left`` are never shuffled. All other keys are joined by shuffle.
-    """
-    hot_bound = max(1.0, share * max(1, total))
-    hot = lookup.where(F.col(weight) > hot_bound).drop(weight)
-    rest = lookup.where(F.col(weight) <= hot_bound).drop(weight)
-    hot_keys = hot.select(key)
-    return (
-        left.join(F.broadcast(hot), key)
-        .unionByName(left.join(F.broadcast(hot_keys), key, "left_anti").join(rest, key))
-    )
