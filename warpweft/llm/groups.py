@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from warpweft.llm.lookalike import look_form
-from warpweft.plans.session import checkpointed, join_lookup
+from warpweft.plans.session import checkpointed
 
 # Entries that name nobody.
 PLACEHOLDERS = ["", "?", "-", "na", "none", "null", "nil", "unknown", "unk", "tbd", "anonymous"]
@@ -44,35 +44,34 @@ def episode_links(meta: DataFrame) -> DataFrame:
     return pair.select(F.least("e", "x").alias("u"), F.greatest("e", "x").alias("v")).distinct()
 
 
-def _minima(directed: DataFrame) -> DataFrame:
-    """``(u, m, n)``: the least neighbour of each node or the node itself, and how many rows it has. Partially aggregated."""
-    return directed.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+def _with_minimum(directed: DataFrame) -> DataFrame:
+    """``(u, v, m)``: each row with the least neighbour of ``u``, or ``u`` itself if that is less. The minima are partially aggregated
+    before the shuffle and unique per node, so the join never multiplies rows; a node with very many rows is split by the adaptive skew join."""
+    least = directed.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return directed.join(least, "u")
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for links ``(u, v)`` by alternating large-star and small-star; ``component`` is the least node.
 
-    Each step needs a minimum per node (aggregated before the shuffle) and a join with these minima, where nodes with very many
-    links are joined by broadcast of their few minima. Each round is written to the checkpoint folder.
+    The result of each round is written to the checkpoint folder and compared with the last by count and checksum.
     """
     nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     edges = checkpointed(links.where("u <> v").select("u", "v").distinct())
-    state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    state, before = _state(edges), None
     for _ in range(max_rounds):
-        if not state[0]:
+        if not state[0] or state == before:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = join_lookup(both, _minima(both), "u", "n", 2 * state[0]).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        down = large.where("hi <> lo").distinct().select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-        down = checkpointed(down)
-        total = down.count()
-        least = _minima(down)
-        small = join_lookup(down, least, "u", "n", total).where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        small = small.unionByName(least.select(F.col("u").alias("hi"), F.col("m").alias("lo")))
-        edges = checkpointed(small.select(F.least("hi", "lo").alias("u"), F.greatest("hi", "lo").alias("v")).where("u <> v").distinct())
-        before, state = state, edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if before == state:
-            break
+        large = _with_minimum(both).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _with_minimum(large)
+        turned = small.select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v").alias("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
+        edges = checkpointed(turned.where("u <> v").distinct())
+        before, state = state, _state(edges)
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     stars = edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
