@@ -111,3 +111,28 @@ def bare_form(text: Column) -> Column:
 def bare_words(text: Column) -> Column:
     """The words of ``bare_form``, an empty array if there are none."""
     return F.filter(F.split(bare_form(text), " "), lambda w: w != "")
+
+
+@cache
+def base_pairs() -> tuple[str, str]:
+    """Letters with marks in one character, and their base letters, as the arguments of ``translate``."""
+    marked, base = [], []
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB1D, 0xFB50)]:
+        letters = [c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)]
+        if len(letters) == 1 and letters[0] != chr(code):
+            marked.append(chr(code))
+            base.append(letters[0])
+    return "".join(marked), "".join(base)
+
+
+def plain_form(text: Column) -> Column:
+    """Words of letters and digits without any mark or case, parted by one blank; the null text gives the empty string.
+
+    Built of deterministic functions only, so it may stand in a lambda.
+    """
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\p{Cf}\p{Mn}]", "")
+    source, target = (a + b for a, b in zip(look_pairs(False), base_pairs()))
+    t = F.lower(F.translate(t, source, target))
+    for one, two in DIGRAPHS.items():
+        t = F.replace(t, F.lit(one), F.lit(two))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"['\"]", ""), r"[^\p{L}\p{N}]+", " "))

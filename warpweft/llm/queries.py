@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warpweft.llm import canonical, consensus, groups, overlap, packing, passages
+from warpweft.llm import canonical, consensus, groups, language, overlap, packing, passages
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,23 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(*_p4_links(spark, sf_dir))
 
 
+def _p5_segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = language.prepared(_t(spark, sf_dir, "runpod_whisper_sample"))
+    return rows, language.segments(rows, language.fit(rows))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.mislabelled(_p5_segments(spark, sf_dir)[1])
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p5_segments(spark, sf_dir)[1]
+
+
+def p5_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.transcript_language(*_p5_segments(spark, sf_dir))
+
+
 def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans = [(r["plan_name"], r["capacity"]) for r in _t(spark, sf_dir, "pack_plan").limit(1000).collect()]
     return packing.pack(packing.token_counts(_t(spark, sf_dir, "documents")), plans)
@@ -115,7 +132,7 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_items": p1_items, "p1_annotators": p1_annotators, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_report": p4_report, "p6_pack": p6_pack, "p6_report": p6_report, "p7_found": p7_found, "p7_passages": p7_passages, "p7_report": p7_report, "p7_clean": p7_clean}
+    return {"p1_found": p1_found, "p1_items": p1_items, "p1_annotators": p1_annotators, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_segments": p5_segments, "p5_transcripts": p5_transcripts, "p6_pack": p6_pack, "p6_report": p6_report, "p7_found": p7_found, "p7_passages": p7_passages, "p7_report": p7_report, "p7_clean": p7_clean}
 
 
 def oracle_sql() -> dict[str, str]:
