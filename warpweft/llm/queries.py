@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warpweft.llm import canonical, consensus, groups, language, overlap, packing, passages
+from warpweft.llm import abuse, canonical, consensus, groups, language, overlap, packing, passages
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,8 +131,21 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.without_leaks(docs, _p7_hits(spark, sf_dir)).select("doc_id", "lang", "source", "n_chars")
 
 
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    return abuse.score(docs, abuse.fit(docs, _t(spark, sf_dir, "doc_labels")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_scores(spark, sf_dir).where("n_abusive > 0").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(_t(spark, sf_dir, "documents"), p8_scores(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_items": p1_items, "p1_annotators": p1_annotators, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_segments": p5_segments, "p5_transcripts": p5_transcripts, "p6_pack": p6_pack, "p6_report": p6_report, "p7_found": p7_found, "p7_passages": p7_passages, "p7_report": p7_report, "p7_clean": p7_clean}
+    return {"p1_found": p1_found, "p1_items": p1_items, "p1_annotators": p1_annotators, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_segments": p5_segments, "p5_transcripts": p5_transcripts, "p6_pack": p6_pack, "p6_report": p6_report, "p7_found": p7_found, "p7_passages": p7_passages, "p7_report": p7_report, "p7_clean": p7_clean, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
