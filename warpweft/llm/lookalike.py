@@ -165,8 +165,16 @@ _TO_LATIN = {ord(k): sign for sign, kinds in LATIN_LOOKALIKES.items() for k in k
 _BARE = BareTable()
 
 
+_LATIN_LIKE = re.compile(f"[{''.join(map(chr, _TO_LATIN))}]")
+
+
+def to_latin(text: str) -> str:
+    """``text`` with look-alikes of Latin letters replaced, but in words that have another Greek or Cyrillic letter."""
+    if not _SCRIPTS.search(text):
+        return text
+    return "".join(w if _OTHER_SCRIPT.search(_LATIN_LIKE.sub("", w)) else w.translate(_TO_LATIN) for w in re.split(r"(\s+)", text))
+
+
 def bare_word_list(text: str) -> list[str]:
     """``bare_words`` for Python workers: the same words in one pass over the text."""
-    if _SCRIPTS.search(text):
-        text = "".join(w if _OTHER_SCRIPT.search(re.sub(f"[{''.join(map(chr, _TO_LATIN))}]", "", w)) else w.translate(_TO_LATIN) for w in re.split(r"(\s+)", text))
-    return text.translate(_BARE).split()
+    return to_latin(text).translate(_BARE).split()
