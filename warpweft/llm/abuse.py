@@ -21,11 +21,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warpweft.llm.lookalike import BareTable, bare_word_list
+from warpweft.llm.lookalike import BareTable, to_latin
 
 BUCKETS = 1 << 18
-_SENTENCE = re.compile(r"[.!?…。．！？]+[\"'”’)\s​-‏⁠﻿­]*(?=\s|$)|[\r\n]+")
-_SPACED = re.compile(r"(?<!\w)\w(?:[ .*_·\-]+\w(?!\w)){2,}")
+#: Sentences of more than LONG words are read in windows of WINDOW words, each half over the next, so that none is diluted.
+LONG, WINDOW = 16, 12
+FOLDS = 3
+#: Share of the sentences of clean documents that a suspect sentence must outscore to be learnt as abusive.
+CLEAN_SHARE = 0.99
+#: Probability at which a later round keeps a sentence.
+KEEP = 0.5
+# Digits and signs written for letters.
+DIGIT_LETTERS = str.maketrans("013457@$", "oieastas")
+_SENTENCE = re.compile(r"[.!?…。]+(?=\s|$)|[\r\n]+")
+_SPACED = re.compile(r"(^|[\s.*_·\-])(\w[ .*_·\-]+\w[ .*_·\-]+\w(?!\w)(?:[ .*_·\-]+\w(?!\w))*)")
 _SPACED_SIGNS = re.compile(r"[ .*_·\-]+")
 _REPEATED = re.compile(r"(\w)\1{2,}")
 
@@ -42,24 +51,30 @@ class _KeepSigns(BareTable):
 
 
 _SIGNS = _KeepSigns()
+_OTHER_SIGNS = re.compile(r"[.!?_\-…。·]")
 
 
 def sentence_terms(text: str | None) -> list[list[str]]:
     """The words of each sentence, by look, with disguises undone: letters set apart are joined, repeated letters and signs within words dropped."""
     if not text:
         return []
+    plain = to_latin(text).translate(_SIGNS)
+    plain = _REPEATED.sub(r"\1", _SPACED.sub(lambda m: m[1] + _SPACED_SIGNS.sub("", m[2]), plain))
     found = []
-    for s in _SENTENCE.split(text.translate(_SIGNS)):
-        if not s.strip():
-            continue
-        s = _SPACED.sub(lambda m: _SPACED_SIGNS.sub("", m.group()), s).replace("*", "")
-        words = bare_word_list(_REPEATED.sub(r"\1", s))
-        if words:
-            found.append(words)
+    for s in _SENTENCE.split(plain):
+        words = _OTHER_SIGNS.sub(" ", s.replace("*", "")).split()
+        if len(words) <= LONG:
+            if words:
+                found.append(words)
+        else:
+            found += [words[k : k + WINDOW] for k in range(0, len(words) - WINDOW // 2, WINDOW // 2)]
     return found
 
 
 def bucket(word: str) -> int:
+    """The term of a word; digits among Latin letters count as the letters they stand for."""
+    if not word.isalpha() and not word.isdigit() and re.search("[a-z]", word):
+        word = word.translate(DIGIT_LETTERS)
     return zlib.crc32(word.encode()) % BUCKETS
 
 
@@ -82,7 +97,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     @classmethod
-    def fitted(cls, sentences: list[np.ndarray], target: np.ndarray, weight: np.ndarray, factors: int = 8, epochs: int = 12, rate: float = 0.05, decay: float = 2e-4, least: int = 3) -> Machine:
+    def fitted(cls, sentences: list[np.ndarray], target: np.ndarray, weight: np.ndarray, factors: int = 8, epochs: int = 12, rate: float = 0.3, decay: float = 3e-4, least: int = 3) -> Machine:
         """Adagrad on the weighted log loss; terms in fewer than ``least`` sentences have no part."""
         rng = np.random.default_rng(7)
         counts = np.bincount(np.concatenate(sentences) if sentences else np.empty(0, int), minlength=BUCKETS)
@@ -94,7 +109,7 @@ class Machine:
         order = np.array([k for k, s in enumerate(used) if len(s)], dtype=np.int64)
         for _ in range(epochs):
             rng.shuffle(order)
-            for part in np.array_split(order, max(1, len(order) // 256)):
+            for part in np.array_split(order, max(1, len(order) // 512)):
                 if not len(part):
                     continue
                 terms = np.concatenate([used[k] for k in part])
@@ -134,28 +149,40 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000, rounds: i
     """A machine from at most ``sample_docs`` labelled documents; null if none of them is labelled as abusive."""
     chosen = document_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    index: dict[tuple, int] = {}
-    holders: dict[int, list[tuple[int, float]]] = defaultdict(list)
-    for r in rows:
-        for words in sentence_terms(r["text"]):
-            holders[index.setdefault(tuple(words), len(index))].append((r["doc_id"], r["toxic"]))
-    if not any(t >= 0.5 for each in holders.values() for _, t in each):
+    return fit_rows([tuple(r) for r in rows], rounds)
+
+
+def fit_rows(rows: list[tuple[int, str, float]], rounds: int = 3) -> Machine | None:
+    """A machine from documents with their text and the mean of their labels."""
+    # One instance per sentence, part of the documents and label, weighted by its documents: a sentence that recurs is evidence each time.
+    seen: dict[tuple, int] = defaultdict(int)
+    for doc, text, toxic in rows:
+        for words in {tuple(w) for w in sentence_terms(text)}:
+            seen[words, zlib.crc32(str(doc).encode()) % FOLDS, toxic >= 0.5] += 1
+    keys = sorted(seen)
+    suspect = np.array([k[2] for k in keys], dtype=bool)
+    if not suspect.any():
         return None
-    sentences = [np.unique([bucket(w) for w in words]) for words in index]
-    n = len(sentences)
-    mean = np.array([np.mean([t for _, t in holders[k]]) for k in range(n)])
-    fold = np.array([zlib.crc32(" ".join(words).encode()) % 2 for words in index])
-    target, weight = mean.copy(), np.ones(n)
-    for _ in range(rounds):
-        given = np.zeros(n)
-        for f in (0, 1):
-            train = np.flatnonzero(fold != f)
-            machine = Machine.fitted([sentences[k] for k in train], target[train], weight[train])
-            test = np.flatnonzero(fold == f)
-            if len(test):
-                given[test] = machine.of([sentences[k] for k in test])
-        target = np.where(mean >= 0.5, (given >= 0.5).astype(float), np.where(mean > 0, np.minimum(mean, given), (given >= 0.97).astype(float)))
-        weight = np.where((mean >= 0.5) & (given > 0.3) & (given < 0.7), 0.3, 1.0)
+    number = {words: n for n, words in enumerate(dict.fromkeys(k[0] for k in keys))}
+    terms = [np.unique([bucket(w) for w in words]) for words in number]
+    sentences = [terms[number[k[0]]] for k in keys]
+    fold = np.array([k[1] for k in keys])
+    times = np.array([seen[k] for k in keys], dtype=float)
+    clean_total, suspect_total = times[~suspect].sum(), times[suspect].sum()
+    target = suspect.astype(float)
+    weight = times * np.where(suspect, max(1.0, clean_total / suspect_total), 1.0)
+    for turn in range(rounds):
+        given = np.zeros(len(keys))
+        for f in range(FOLDS):
+            train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+            if len(test) and len(train):
+                given[test] = Machine.fitted([sentences[k] for k in train], target[train], weight[train], epochs=8).of([sentences[k] for k in test])
+        # Kept are suspect sentences that machines fitted on other documents score above nearly all sentences of clean documents. The few
+        # abusive sentences that raters let pass stay among the clean ones: they are outweighed by their likes.
+        usual = float(np.quantile(given[~suspect], CLEAN_SHARE)) if (~suspect).any() else 0.5
+        abusive = suspect & (given > (max(usual, KEEP) if turn else usual))
+        target = abusive.astype(float)
+        weight = times * np.where(abusive, max(1.0, min(10.0, 0.2 * times.sum() / max(1.0, times[abusive].sum()))), np.where(suspect & (given > usual / 2), 0.3, 1.0))
     return Machine.fitted(sentences, target, weight)
 
 
