@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from warpweft.plans import evidence_queries, text_queries  # noqa: F401
+from warpweft.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

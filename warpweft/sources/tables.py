@@ -1,10 +1,81 @@
-"""Readers: declared schemas, tolerant JSON lines, plain text and the Parquet test tables."""
+"""Readers and writers: declared schemas for delimited files and JSON lines, tolerant reading, text, optional tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def optional_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A Parquet table, or an empty one with the declared schema where none is. Paths without a scheme are looked up locally."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.schema(schema).parquet(path) if files.exists(found) else spark.createDataFrame([], schema)
+
+
+def delimited(spark: SparkSession, path: str, schema: StructType, sep: str = "\t") -> DataFrame:
+    """A file with a header under a declared schema. A header with other names, or a row that doesn't fit, is an error."""
+    return spark.read.csv(path, schema=schema, sep=sep, header=True, enforceSchema=False, mode="FAILFAST", quote='"', escape='"')
+
+
+def write_delimited(df: DataFrame, path: str, sep: str = "\t") -> None:
+    """Header and rows; arrays are joined by ``|``."""
+    flat = df.select(*[F.array_join(c, "|").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes])
+    flat.write.mode("overwrite").csv(path, sep=sep, header=True, quote='"', escape='"')
+
+
+def json_lines(spark: SparkSession, path: str, schema: StructType, tolerant: bool = False) -> DataFrame:
+    """JSON lines with ``file_stem``, the name of each row's file without its ending; bad lines fail, or are left out if tolerant."""
+    df = spark.read.schema(schema).json(path, mode="DROPMALFORMED" if tolerant else "FAILFAST")
+    return df.withColumn("file_stem", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""))
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that aren't blank, with the stem of their file."""
+    df = spark.read.text(path).where(F.trim("value") != "")
+    return df.withColumn("file_stem", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""))
+
+
+def loose_json(reply: Column) -> Column:
+    """A JSON value out of a reply in free text: code fences stripped, cut to the outer braces; null if it isn't JSON."""
+    bare = F.regexp_replace(reply, r"```[a-z]*", "")
+    inner = F.regexp_extract(bare, r"(?s)(\{.*\}|\[.*\])", 1)
+    return F.try_parse_json(inner)
+
+
+def reply_rows(replies: DataFrame, column: str, fields: list[str]) -> DataFrame:
+    """Rows of a tab-separated reply: one per line with as many cells as ``fields``; other lines are left out."""
+    lines = replies.select(*[c for c in replies.columns if c != column], F.explode(F.split(column, r"\r?\n")).alias("_line"))
+    cells = F.split("_line", "\t")
+    return lines.where(F.size(cells) == len(fields)).select(*[c for c in lines.columns if c != "_line"], *[F.trim(cells[k]).alias(f) for k, f in enumerate(fields)])
+
+
+def aliased(df: DataFrame, names: dict[str, list[str]]) -> DataFrame:
+    """Columns that a source calls by one of several names: the first that isn't null."""
+    return df.select(*[F.coalesce(*[F.col(c) for c in own if c in df.columns]).alias(to) if any(c in df.columns for c in own) else F.lit(None).alias(to) for to, own in names.items()])
+
+
+def swap_table(df: DataFrame, path: str) -> None:
+    """Writes a table beside its old version and then puts it in its place, so a rebuild never reads its own output. For file systems with an atomic rename."""
+    fresh = f"{path}.new"
+    df.write.mode("overwrite").parquet(fresh)
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    to, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh, f"{path}.old"))
+    files = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    if files.exists(to):
+        files.rename(to, old)
+    files.rename(new, to)
+    files.delete(old, True)
+
