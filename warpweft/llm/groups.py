@@ -91,29 +91,30 @@ def named_groups(rows: DataFrame, meta: DataFrame) -> DataFrame:
 def assign_splits(rows: DataFrame, key: str, groups: DataFrame, plan: list[tuple[str, float]], seed: str = "split", buckets: int = 4096) -> DataFrame:
     """``rows`` with ``group_episode`` and ``split``.
 
-    Groups are hashed by their identifier into ``buckets``; consecutive buckets make the range of a split, cut where the rows in
+    Columns ``group_episode`` and ``split`` that ``rows`` may have are replaced. Groups are hashed by their identifier into ``buckets``; consecutive buckets make the range of a split, cut where the rows in
     them reach the split's share, so that the shares are of rows, not of groups. A group larger than half the least share would swamp a
     small split; such groups, at most ``2 / least share`` of them, go to the split with the largest share and count there. Rows without an
     episode are placed by their key. Collected are the giant groups and one count per bucket, both bounded.
     """
+    rows = rows.drop("group_episode", "split")
     total_share = sum(s for _, s in plan)
     plan = sorted(((n, s / total_share) for n, s in plan), key=lambda x: (-x[1], x[0]))
-    named = groups.select(F.col("episode").alias("episode_name"), "group_episode")
-    placed = rows.join(named, rows["episode"] == named["episode_name"], "left").drop("episode_name")
+    named = groups.select(F.col("episode").alias("_episode_name"), "group_episode")
+    placed = rows.join(named, rows["episode"] == named["_episode_name"], "left").drop("_episode_name")
     place = F.coalesce(F.col("group_episode").cast("string"), F.concat(F.lit("/"), F.col(key).cast("string")), F.lit("/"))
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64(place, F.lit(seed)), F.lit(buckets)).cast("int"))
-    sizes = placed.groupBy("group_episode", "bucket").agg(F.count("*").alias("n"))
+    placed = placed.withColumn("_bucket", F.pmod(F.xxhash64(place, F.lit(seed)), F.lit(buckets)).cast("int"))
+    sizes = placed.groupBy("group_episode", "_bucket").agg(F.count("*").alias("n"))
     n_all = sizes.agg(F.sum("n")).first()[0] or 0
     is_giant = F.col("group_episode").isNotNull() & (F.col("n") > min(s for _, s in plan) * n_all / 2)
     giants = [r["group_episode"] for r in sizes.where(is_giant).select("group_episode").collect()]
-    counts = dict(sizes.where(~is_giant).groupBy("bucket").agg(F.sum("n").alias("n")).collect())
+    counts = dict(sizes.where(~is_giant).groupBy("_bucket").agg(F.sum("n").alias("n")).collect())
     split, bucket = F.lit(plan[0][0]), 0
     for name, share in reversed(plan[1:]):
         begin, filled = bucket, 0
         while bucket < buckets and filled + counts.get(bucket, 0) / 2 < share * n_all:
             filled += counts.get(bucket, 0)
             bucket += 1
-        split = F.when(F.col("bucket").between(begin, bucket - 1), name).otherwise(split)
+        split = F.when(F.col("_bucket").between(begin, bucket - 1), name).otherwise(split)
     if giants:
         split = F.when(F.col("group_episode").isin(giants), plan[0][0]).otherwise(split)
-    return placed.withColumn("split", split).drop("bucket")
+    return placed.withColumn("split", split).drop("_bucket")

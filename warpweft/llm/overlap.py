@@ -6,7 +6,7 @@ among the rarest words of each, some words in the same order; these ordered comb
 pairs are verified by the edit distance. No pair within the bound is lost.
 
 Defined results: null and blank texts, and texts without a word, have no partner; repeated rows are joined once by their canonical text and expanded at the
-end; texts of fewer than four words have only exact partners; ties in rarity are broken by the word's hash; empty tables give no rows.
+end; texts of fewer than three words have only exact partners; ties in rarity are broken by the word's hash; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -65,7 +65,8 @@ def rare_keys(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(side, id, ..., uid)`` of ``(side, id, text, ...)``, and its distinct texts ``(uid, words, in_train, in_eval)``."""
+    """``(side, id, split, source, uid)`` of ``(side, id, text, split, source)``, the last two if there, and its distinct texts ``(uid, words, in_train, in_eval)``."""
+    rows = rows.select(*[c for c in ("side", "id", "text", "split", "source") if c in rows.columns])
     canon = rows.withColumn("canon", F.array_join(bare_words(F.col("text")), " ")).where("canon <> ''").withColumn("uid", F.xxhash64("canon"))
     texts = canon.groupBy("uid").agg(
         F.first("canon").alias("canon"), F.max(F.col("side") == "train").alias("in_train"), F.max(F.col("side") == "eval").alias("in_eval")
@@ -108,7 +109,7 @@ def near_pairs(texts: DataFrame) -> DataFrame:
                 names=["uid", "in_train", "in_eval", "n", "keys"],
             )
 
-    keyed = texts.where("size(words) >= 4").mapInArrow(keys_of, "uid bigint, in_train boolean, in_eval boolean, n int, keys array<bigint>")
+    keyed = texts.where("size(words) >= 3").mapInArrow(keys_of, "uid bigint, in_train boolean, in_eval boolean, n int, keys array<bigint>")
     e = keyed.where("in_eval").select(F.col("uid").alias("uid_eval"), F.col("n").alias("n_e"), F.explode("keys").alias("key"))
     t = keyed.where("in_train").select(F.col("uid").alias("uid_train"), F.col("n").alias("n_t"), F.explode("keys").alias("key"))
     met = e.join(t, "key").where("uid_eval <> uid_train AND 3 * least(n_e, n_t) > 2 * greatest(n_e, n_t)").select("uid_eval", "uid_train").distinct()

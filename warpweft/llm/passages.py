@@ -140,12 +140,12 @@ def scan(doc_ids: np.ndarray, offsets: np.ndarray, flat: np.ndarray, items: list
                 words, current = flat[base : int(offsets[d + 1])].tolist(), d
             for low, high in ranges:
                 if b := chosen[i].best(words, low - base, max(high - base, low - base + 1)):
-                    hits.append((int(doc_ids[d]), chosen[i].item_id, b[0], chosen[i].n, b[1], b[2]))
+                    hits.append((d, chosen[i].item_id, b[0], chosen[i].n, b[1], b[2]))
     top: dict[tuple[int, int], tuple] = {}
     for h in hits:
         if h[:2] not in top or h[2] > top[h[:2]][2]:
             top[h[:2]] = h
-    return list(top.values())
+    return [(int(doc_ids[h[0]]), *h[1:]) for h in top.values()]
 
 
 def find_passages(docs: DataFrame, items: DataFrame, share: float = 0.5, slack: int = 10, seed_share: float = 0.15, block_words: int = 200_000) -> DataFrame:
