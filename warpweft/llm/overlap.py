@@ -67,12 +67,14 @@ def rare_keys(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(side, id, split, source, uid)`` of ``(side, id, text, split, source)``, the last two if there, and its distinct texts ``(uid, words, in_train, in_eval)``."""
     rows = rows.select(*[c for c in ("side", "id", "text", "split", "source") if c in rows.columns])
-    canon = rows.withColumn("canon", F.array_join(bare_words(F.col("text")), " ")).where("canon <> ''").withColumn("uid", F.xxhash64("canon"))
+    canon = rows.withColumn("canon", F.array_join(bare_words(F.col("text")), " ")).where("canon <> ''").withColumn("uid", F.xxhash64("canon")).drop("text")
+    # Written once: canonicalising is the dearest step and its result is read for texts and for both sides' rows.
+    canon = checkpointed(canon)
     texts = canon.groupBy("uid").agg(
         F.first("canon").alias("canon"), F.max(F.col("side") == "train").alias("in_train"), F.max(F.col("side") == "eval").alias("in_eval")
     )
     words = F.transform(F.split("canon", " "), lambda w: F.xxhash64(w))
-    return canon.drop("text", "canon"), texts.select("uid", words.alias("words"), "in_train", "in_eval")
+    return canon.drop("canon"), texts.select("uid", words.alias("words"), "in_train", "in_eval")
 
 
 def word_counts(texts: DataFrame) -> np.ndarray:
