@@ -44,10 +44,17 @@ def test_modal_and_consistency(spark):
     assert tuple(evidence.consistency(counts, "k").first()) == (3, 1, 0.333333, 0.7, 1.666667)
 
 
-def test_runs_repeats_and_picks(spark):
-    df = spark.createDataFrame([("u", k, f) for k, f in enumerate("aabbbac")], "u string, t int, f string")
-    assert [r["f"] for r in sequences.collapse_repeats(df, ["u"], ["t"], "f").orderBy("t").collect()] == list("abac")
-    assert rows(sequences.islands(df, ["u"], ["t"], F.col("f") != "c"), "first_pos", "last_pos", "n") == [(1, 6, 6)]
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_runs_and_repeats_in_blocks_of_any_size(spark, size):
+    df = spark.createDataFrame([("u", k, f) for k, f in enumerate("aabbbacc")] + [(None, 1, "a"), (None, 2, "a"), ("v", 5, "c"), ("v", 6, None), ("v", 7, None)], "u string, t int, f string")
+    block = F.floor(F.col("t") / size)
+    kept = sequences.collapse_repeats(df, ["u"], ["t"], "f", block)
+    assert rows(kept, F.coalesce("u", F.lit("-")).alias("u"), "t") == [("-", 1), ("u", 0), ("u", 2), ("u", 5), ("u", 6), ("v", 5), ("v", 6)]
+    runs = sequences.islands(df, ["u"], ["t"], F.col("f") != "c", block)
+    assert rows(runs, F.coalesce("u", F.lit("-")).alias("u"), "first_pos", "last_pos", "n") == [("-", 1, 2, 2), ("u", 1, 6, 6)]
+
+
+def test_picks(spark):
     places = spark.createDataFrame([("w", g, k) for k, g in enumerate("aaabc")], "w string, g string, k int")
     assert rows(sequences.round_robin(places, "w", "g", ["k"], 4), "g", "k", "pick") == [("a", 0, 1), ("a", 1, 4), ("b", 3, 2), ("c", 4, 3)]
 

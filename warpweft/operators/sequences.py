@@ -7,18 +7,43 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def collapse_repeats(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
-    """Rows whose value differs from the row before; the first of each sequence stays."""
-    before = F.lag(value).over(W.partitionBy(*by).orderBy(*order))
-    return rows.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") != F.col(value))).drop("_before")
-
-
-def islands(rows: DataFrame, by: list[str], order: list[str], flag: Column) -> DataFrame:
-    """Runs of flagged rows: first and last position and length of each."""
-    w = W.partitionBy(*by).orderBy(*order)
-    flagged = rows.withColumn("pos", F.row_number().over(w)).where(flag)
-    run = F.col("pos") - F.row_number().over(w)
-    return flagged.withColumn("run", run).groupBy(*by, "run").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("n")).drop("run")
+def in_blocks(rows: DataFrame, by: list[str], order: list[str], block: Column, flag: Column | None = None, value: str | None = None) -> DataFrame:
+    """``rows`` with their place in the sequence of their group, found without sorting any whole group in one task.
+
+    ``block`` cuts each group into consecutive pieces, such as days of a time column; it must not fall along ``order``. Windows
+    run within pieces; what came before a piece is added from one row per piece. Adds ``pos`` from one, ``flagged``, how many
+    flagged rows there are up to this one, and ``before``, the value of the row before.
+    """
+    flag = F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))
+    cut = rows.withColumn("_block", block).withColumn("_flag", flag)
+    within = W.partitionBy(*by, "_block").orderBy(*order)
+    local = cut.withColumn("_pos", F.row_number().over(within)).withColumn("_seen", F.sum(F.col("_flag").cast("int")).over(within.rowsBetween(W.unboundedPreceding, 0)))
+    last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)) if value else F.lit(None).cast("struct<v:string>")
+    pieces = cut.groupBy(*by, "_block").agg(F.count("*").alias("_n"), F.count_if("_flag").alias("_f"), last.alias("_last"))
+    earlier = W.partitionBy(*by).orderBy("_block")
+    sums = earlier.rowsBetween(W.unboundedPreceding, -1)
+    pieces = pieces.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(sums), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_f").over(sums), F.lit(0)).alias("_f0"), F.lag("_last").over(earlier).alias("_last"))
+    if value:
+        local = local.withColumn("_lag", F.lag(F.struct(F.col(value).alias("v"))).over(within))
+    met = local["_block"].eqNullSafe(pieces["_b"])
+    for c in by:
+        met = met & local[c].eqNullSafe(pieces[f"_{c}"])
+    joined = local.join(pieces, met)
+    out = [F.col(c) for c in rows.columns] + [(F.col("_n0") + F.col("_pos")).alias("pos"), (F.col("_f0") + F.col("_seen")).alias("flagged")]
+    return joined.select(*out, *([F.coalesce("_lag", "_last").alias("before")] if value else []))
+
+
+def collapse_repeats(rows: DataFrame, by: list[str], order: list[str], value: str, block: Column) -> DataFrame:
+    """Rows whose value differs from the row before; the first of each sequence stays. See ``in_blocks``."""
+    placed = in_blocks(rows, by, order, block, value=value)
+    return placed.where(F.col("before").isNull() | ~F.col("before.v").eqNullSafe(F.col(value))).drop("pos", "flagged", "before")
+
+
+def islands(rows: DataFrame, by: list[str], order: list[str], flag: Column, block: Column) -> DataFrame:
+    """Runs of flagged rows: first and last position and length of each. Runs are aggregated partially before the shuffle."""
+    placed = in_blocks(rows, by, order, block, flag=flag).where(flag)
+    run = F.col("pos") - F.col("flagged")
+    return placed.groupBy(*by, run.alias("run")).agg(F.min("pos").cast("int").alias("first_pos"), F.max("pos").cast("int").alias("last_pos"), F.count("*").alias("n")).drop("run")
 
 
 def contexts(rows: DataFrame, key: str, words: str, reach: int = 3, most: int = 2) -> DataFrame:

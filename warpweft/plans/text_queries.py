@@ -59,7 +59,8 @@ def reason_codes(spark, d):
         ("no language", F.col("lang").isNull()), ("no hebrew", F.col("lang").isin("yi", "he") & ~text.rlike("[א-ת]")),
     ])
     counts = docs.select(reason.alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
-    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).select("reason", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select("reason", "n", F.round(F.col("n") / total, 6).alias("share"))
 
 
 @query(
@@ -195,7 +196,7 @@ def phone_counts(spark, d):
 def mark_labels(spark, d):
     """Mark labels of supervised characters and their shares."""
     each = table(spark, d, "yiexample").select(F.explode("marks").alias("mark")).where("mark IS NOT NULL").groupBy("mark").agg(F.count("*").alias("n"))
-    return each.crossJoin(F.broadcast(each.agg(F.sum("n").alias("t")))).select("mark", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))
+    return each.select("mark", "n", F.round(F.col("n") / each.agg(F.sum("n")).scalar(), 6).alias("share"))
 
 
 @query(
