@@ -57,15 +57,18 @@ def gold_conflicts(spark, d):
 
 
 _DAY = "CAST(ts AS DATE)"
-#: Pieces into which a user's events are cut, so that no task sorts all events of a busy user.
-_DAY_OF = F.to_date("ts")
 
 
-@query("resume_antijoin", f"SELECT event_id, user_id, {_DAY} AS day FROM events e WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.event_id % 2 = 0 AND x.user_id = e.user_id AND CAST(x.ts AS DATE) = CAST(e.ts AS DATE))")
+def _day():
+    """Pieces into which a user's events are cut, so that no task sorts all events of a busy user."""
+    return F.to_date("ts")
+
+
+@query("resume_antijoin", f"SELECT event_id, user_id, {_DAY} AS day FROM events e WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.event_type = 'error' AND x.user_id = e.user_id AND CAST(x.ts AS DATE) = CAST(e.ts AS DATE))")
 def resume_antijoin(spark, d):
-    """Events of users and days of which nothing has been processed; processed are the events with an even number."""
-    e = table(spark, d, "events").select("event_id", "user_id", F.to_date("ts").alias("day"))
-    return evidence.not_yet(e, e.where("event_id % 2 = 0"), ["user_id", "day"]).select("event_id", "user_id", "day")
+    """Events of users and days that aren't done; done are the days on which a user met an error."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"))
+    return evidence.not_yet(e, e.where("event_type = 'error'"), ["user_id", "day"]).select("event_id", "user_id", "day")
 
 
 @query(
@@ -95,7 +98,7 @@ _STEPS = "(SELECT user_id, event_type AS a, lead(event_type) OVER (PARTITION BY
 def _steps(spark, d):
     """Each event with the next of the same user: an expected and an observed symbol."""
     e = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
-    placed = sequences.in_blocks(e, ["user_id"], ["ts", "event_id"], _DAY_OF, value="event_type").where("before IS NOT NULL")
+    placed = sequences.in_blocks(e, ["user_id"], ["ts", "event_id"], _day(), value="event_type").where("before IS NOT NULL")
     return placed.select("user_id", F.col("before.v").alias("a"), F.col("event_type").alias("b"))
 
 
@@ -174,7 +177,7 @@ def slot_votes(spark, d):
 @query("collapse_repeats", "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR before <> event_type")
 def collapse_repeats(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
-    return sequences.collapse_repeats(e, ["user_id"], ["ts", "event_id"], "event_type", _DAY_OF).select("user_id", "event_id", "event_type")
+    return sequences.collapse_repeats(e, ["user_id"], ["ts", "event_id"], "event_type", _day()).select("user_id", "event_id", "event_type")
 
 
 def _runs(flag: str, least: int) -> str:
@@ -186,7 +189,7 @@ def _runs(flag: str, least: int) -> str:
 def clean_spans(spark, d):
     """Longest runs without an error, of four events or more."""
     e = table(spark, d, "events")
-    return sequences.islands(e, ["user_id"], ["ts", "event_id"], F.col("event_type") != "error", _DAY_OF).where("n >= 4")
+    return sequences.islands(e, ["user_id"], ["ts", "event_id"], F.col("event_type") != "error", _day()).where("n >= 4")
 
 
 @query(
@@ -196,7 +199,7 @@ def clean_spans(spark, d):
 def islands_quoted_share(spark, d):
     """Share of a user's events inside runs of three clicks or more."""
     e = table(spark, d, "events")
-    inside = sequences.islands(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "click", _DAY_OF).where("n >= 3").groupBy("user_id").agg(F.sum("n").alias("n_inside"))
+    inside = sequences.islands(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "click", _day()).where("n >= 3").groupBy("user_id").agg(F.sum("n").alias("n_inside"))
     every = e.groupBy("user_id").agg(F.count("*").alias("n_all")).join(inside, "user_id", "left")
     n = F.coalesce("n_inside", F.lit(0))
     return every.select("user_id", n.alias("n_inside"), "n_all", F.round(n / F.col("n_all"), 6).alias("share"))
