@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warpweft.llm import abuse, canonical, consensus, groups, language, overlap, packing, passages
+from warpweft.llm.lookalike import INVISIBLE, look_pairs
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,5 +149,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p1_items": p1_items, "p1_annotators": p1_annotators, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_segments": p5_segments, "p5_transcripts": p5_transcripts, "p6_pack": p6_pack, "p6_report": p6_report, "p7_found": p7_found, "p7_passages": p7_passages, "p7_report": p7_report, "p7_clean": p7_clean, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
+def _p2_sql() -> str:
+    """Equal forms by the same tables, as one ``translate`` and composed instead of decomposed text; all pairs with one form and two strings."""
+    source, target = look_pairs(True)
+    quoted = lambda t: t.replace("'", "''")
+    form = (
+        f"trim(regexp_replace(replace(replace(replace(translate(nfc_normalize(regexp_replace(value, '{INVISIBLE}', '', 'g')), '{quoted(source)}', '{quoted(target)}'), "
+        "'װ', 'וו'), 'ױ', 'וי'), 'ײ', 'יי'), '[\\s\\p{Z}]+', ' ', 'g'))"
+    )
+    values = (
+        "SELECT 'text_yi' AS field, ann_id AS id, text_yi AS value, NULL AS n FROM annotations_gold UNION ALL SELECT 'text_yi_pointed', ann_id, text_yi_pointed, NULL FROM annotations_gold "
+        "UNION ALL SELECT 'word', CAST(rank AS VARCHAR), word, rank FROM g2p_gold_v3"
+    )
+    return (
+        f"WITH v AS ({values}), f AS (SELECT field, id, n, value, {form} AS form FROM v) SELECT a.field, a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.field = b.field AND a.form = b.form "
+        "AND a.value <> b.value AND CASE WHEN a.n IS NULL THEN a.id < b.id ELSE a.n < b.n END WHERE a.form <> ''"
+    )
+
+
+def _p3_sql() -> str:
+    """Groups by a recursive walk over the links of the episodes."""
+    wide = "".join(chr(0xFF10 + k) for k in range(10))
+    number = lambda c: f"nullif(regexp_extract(translate({c}, '{wide}', '0123456789'), '(?:^|[^0-9])0*([1-9][0-9]{{6}})(?:[^0-9]|$)', 1), '')"
+    nobody = ", ".join(f"'{x}'" for x in groups.PLACEHOLDERS)
+    person = lambda c: f"regexp_replace(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}?]+', '', 'g'), '([a-z])0+([0-9])', '\\1\\2')"
+    return f"""WITH RECURSIVE m AS (SELECT DISTINCT {number('episode')} AS e, {person('speaker')} AS s, {person('guest')} AS g, {number('reupload_of')} AS r FROM episode_meta),
+    p AS (SELECT e, x FROM (SELECT e, s AS x FROM m UNION SELECT e, g FROM m) WHERE x NOT IN ({nobody}) AND NOT regexp_matches(x, '^[?]*$')),
+    link AS (SELECT a.e AS a, b.e AS b FROM p a JOIN p b USING (x) UNION SELECT e, r FROM m WHERE r IS NOT NULL UNION SELECT r, e FROM m WHERE r IS NOT NULL),
+    reach AS (SELECT e AS a, e AS b FROM m UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+    least AS (SELECT a, min(b) AS b FROM reach WHERE b IN (SELECT e FROM m) GROUP BY a),
+    names AS (SELECT DISTINCT episode, {number('episode')} AS e FROM (SELECT episode FROM eval_meta_2026_08_14 UNION SELECT episode FROM runpod_whisper_sample) WHERE episode <> '')
+    SELECT episode, coalesce(least.b, e) AS group_episode FROM names LEFT JOIN least ON least.a = names.e WHERE e IS NOT NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": _p2_sql(), "p3_found": _p3_sql()}
