@@ -104,17 +104,20 @@ def near_pairs(texts: DataFrame) -> DataFrame:
             offsets = np.asarray(lists.offsets)
             flat = np.asarray(lists.values).view(np.uint64)
             made = [rare_keys(flat[a:b], counts) for a, b in zip(offsets[:-1], offsets[1:])]
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (flat >> np.uint64(58)), offsets[:-1]).view(np.int64) if len(offsets) > 1 else np.empty(0, np.int64)
             ends = np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int32)
             values = np.concatenate([np.empty(0, np.uint64), *made]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), batch.column("in_train"), batch.column("in_eval"), pa.array(np.diff(offsets).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
-                names=["uid", "in_train", "in_eval", "n", "keys"],
+                [batch.column("uid"), batch.column("in_train"), batch.column("in_eval"), pa.array(np.diff(offsets).astype(np.int32)), pa.array(bits), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
+                names=["uid", "in_train", "in_eval", "n", "bits", "keys"],
             )
 
-    keyed = texts.where("size(words) >= 3").mapInArrow(keys_of, "uid bigint, in_train boolean, in_eval boolean, n int, keys array<bigint>")
-    e = keyed.where("in_eval").select(F.col("uid").alias("uid_eval"), F.col("n").alias("n_e"), F.explode("keys").alias("key"))
-    t = keyed.where("in_train").select(F.col("uid").alias("uid_train"), F.col("n").alias("n_t"), F.explode("keys").alias("key"))
-    met = e.join(t, "key").where("uid_eval <> uid_train AND 3 * least(n_e, n_t) > 2 * greatest(n_e, n_t)").select("uid_eval", "uid_train").distinct()
+    keyed = texts.where("size(words) >= 3").mapInArrow(keys_of, "uid bigint, in_train boolean, in_eval boolean, n int, bits bigint, keys array<bigint>")
+    e = keyed.where("in_eval").select(F.col("uid").alias("uid_eval"), F.col("n").alias("n_e"), F.col("bits").alias("b_e"), F.explode("keys").alias("key"))
+    t = keyed.where("in_train").select(F.col("uid").alias("uid_train"), F.col("n").alias("n_t"), F.col("bits").alias("b_t"), F.explode("keys").alias("key"))
+    # Each edit takes out one word and puts in one word at most, so it changes two of the 64 bits for which words stand.
+    possible = "3 * least(n_e, n_t) > 2 * greatest(n_e, n_t) AND bit_count(b_e ^ b_t) <= 2 * ((greatest(n_e, n_t) + 2) div 3 - 1)"
+    met = e.join(t, "key").where(f"uid_eval <> uid_train AND {possible}").select("uid_eval", "uid_train").distinct()
     coded = texts.select("uid", F.size("words").alias("n"), _coded(F.col("words"), 0).alias("c"), _coded(F.col("words"), 31).alias("c2"))
     ce = coded.select(F.col("uid").alias("uid_eval"), F.col("n").alias("n_e"), F.col("c").alias("c_e"), F.col("c2").alias("c2_e"))
     ct = coded.select(F.col("uid").alias("uid_train"), F.col("n").alias("n_t"), F.col("c").alias("c_t"), F.col("c2").alias("c2_t"))
