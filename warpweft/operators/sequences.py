@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from warpweft.plans.session import checkpointed
+
 
 def in_blocks(rows: DataFrame, by: list[str], order: list[str], block: Column, flag: Column | None = None, value: str | None = None) -> DataFrame:
     """``rows`` with their place in the sequence of their group, found without sorting any whole group in one task.
@@ -59,11 +61,18 @@ def contexts(rows: DataFrame, key: str, words: str, reach: int = 3, most: int =
     return ranked.select("word", "context", "rank")
 
 
+def word_runs(words: Column, n: int) -> Column:
+    """All runs of ``n`` neighbouring words, joined by blanks, in order; null where a word is null. Shifted arrays are zipped, which copies no run."""
+    many = F.greatest(F.size(words) - n + 1, F.lit(0))
+    runs = F.slice(words, F.lit(1), many)
+    for k in range(1, n):
+        runs = F.zip_with(runs, F.slice(words, F.lit(k + 1), many), lambda a, b: F.concat(a, F.lit(" "), b))
+    return runs
+
+
 def ngrams(words: Column, n: int) -> Column:
     """All runs of ``n`` neighbouring words, joined by blanks; none that holds a null word."""
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.size(words))
-    runs = F.transform(at, lambda i: F.slice(words, i, n))
-    return F.transform(F.filter(runs, lambda r: ~F.exists(r, lambda w: w.isNull())), lambda r: F.array_join(r, " "))
+    return F.filter(word_runs(words, n), lambda r: r.isNotNull())
 
 
 def mine_ngrams(rows: DataFrame, words: str, sizes: tuple[int, ...], least: int) -> DataFrame:
@@ -83,11 +92,11 @@ def longest_matches(rows: DataFrame, key: str, words: str, phrases: DataFrame, l
     """
 
     def of_size(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice(words, i, n), " ").alias("gram")))
+        return F.transform(word_runs(F.col(words), n), lambda g, i: F.struct((i + 1).alias("start"), F.lit(n).alias("n"), g.alias("gram")))
 
+    phrases = checkpointed(phrases)  # counted and joined, made once
     grams = F.flatten(F.array(*[of_size(n) for n in range(2, longest + 1)]))
-    every = rows.where(F.size(words) >= 2).select(key, F.explode(grams).alias("g"), F.size(words).alias("size")).select(key, "g.*", "size").where("start + n - 1 <= size")
+    every = rows.where(F.size(words) >= 2).select(key, F.explode(grams).alias("g")).select(key, "g.*").where("gram IS NOT NULL")
     small = phrases.limit(bound + 1).count() <= bound
     met = every.join(F.broadcast(phrases) if small else phrases, "gram", "left_semi")
     ordered = F.array_sort(F.collect_list(F.struct("start", (-F.col("n")).alias("minus_n"), "gram")))
