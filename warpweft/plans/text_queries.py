@@ -8,13 +8,13 @@ from warpweft.functions import phones as P
 from warpweft.functions import text as T
 from warpweft.operators import evidence, rewrite, scoring, sequences
 from warpweft.plans.registry import duck_bare, duck_key, duck_signs, duck_words, query
-from warpweft.sources.tables import table
+from warpweft.sources.tables import spread, table
 
 
 @query("token_type_freq", f"SELECT w AS type, count(*) AS freq FROM (SELECT unnest({duck_words('text')}) AS w FROM documents) GROUP BY w ORDER BY freq DESC, type")
 def token_type_freq(spark, d):
     """Word types of the corpus by frequency."""
-    each = table(spark, d, "documents").select(F.explode(T.words(F.col("text"))).alias("type"))
+    each = spread(table(spark, d, "documents").select("text")).select(F.explode(T.words(F.col("text"))).alias("type"))
     return each.groupBy("type").agg(F.count("*").alias("freq")).orderBy(F.desc("freq"), "type")
 
 
@@ -84,7 +84,7 @@ def problem_list(spark, d):
 )
 def markup_clean(spark, d):
     """Cues per document and what is left without tags, cues and entities."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).where("text IS NOT NULL")
     clean = T.clean_markup(F.col("text"))
     return docs.select("doc_id", F.regexp_count("text", F.lit(r"\[[^\[\]]*\]")).alias("n_cues"), F.length(clean).alias("n_clean"), F.md5(clean).alias("clean_md5"))
 
@@ -280,7 +280,7 @@ def oov_split(spark, d):
 )
 def ngram_mine(spark, d):
     """Frequent pairs and triples of neighbouring words."""
-    rows = table(spark, d, "documents").select(T.words(F.col("text")).alias("w"))
+    rows = spread(table(spark, d, "documents").select("text")).select(T.words(F.col("text")).alias("w"))
     return sequences.mine_ngrams(rows, "w", (2, 3), 15)
 
 

@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores.
+
+    A table in few row groups is read by as few tasks; before costly work on its rows they are dealt out. Tables that are read by enough tasks, as all large ones, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def optional_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A Parquet table, or an empty one with the declared schema where none is. Paths without a scheme are looked up locally."""
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
