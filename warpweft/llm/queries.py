@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from warpweft.llm import abuse, canonical, consensus, groups, language, overlap, packing, passages
 from warpweft.llm.lookalike import INVISIBLE, look_pairs
+from warpweft.sources.tables import spread
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,7 +101,7 @@ def p5_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans = [(r["plan_name"], r["capacity"]) for r in _t(spark, sf_dir, "pack_plan").limit(1000).collect()]
-    return packing.pack(packing.token_counts(_t(spark, sf_dir, "documents")), plans)
+    return packing.pack(packing.token_counts(spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))), plans)
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +109,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _p7_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.find_passages(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "held_out_items"))
+    return passages.find_passages(spread(_t(spark, sf_dir, "documents").select("doc_id", "text")), _t(spark, sf_dir, "held_out_items"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +135,7 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
-    return abuse.score(docs, abuse.fit(docs, _t(spark, sf_dir, "doc_labels")))
+    return abuse.score(spread(docs.select("doc_id", "text")), abuse.fit(docs, _t(spark, sf_dir, "doc_labels")))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
