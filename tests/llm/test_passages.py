@@ -47,3 +47,19 @@ def test_breaks_and_edge_cases(spark):
     assert [r["matched"] for r in hits.where("doc_id = 1").collect()] == [8]
     assert sorted(r["doc_id"] for r in P.without_leaks(docs, hits).collect()) == [2, 3, 6]
     assert P.find_passages(docs.limit(0), items).count() == 0 and P.find_passages(docs, items.limit(0)).count() == 0
+
+
+def test_scattered_words(spark):
+    """Every other word of an item stands in the document, a foreign or changed word between, so no two neighbours meet."""
+    item = [f"w{k}" for k in range(60)]
+    broken = [w if k % 2 else f"x{k}" for k, w in enumerate(item)]
+    rng = random.Random(5)
+    few = [rng.choice("abcdefg") for _ in range(70)]
+    items = [(1, " ".join(item)), (2, " ".join(few)), (3, " ".join(few[:20]))]
+    docs = [(1, "y z " + " ".join(broken) + " y z"), (2, " ".join(broken[:58])), (3, " ".join(reversed(item)))]
+    docs += [(k, " ".join(rng.choice(letters) for letters in [rng.choice(["abcdefgh", "abcdefghijklmno"])] for _ in range(rng.choice([30, 70, 200])))) for k in range(4, 60)]
+    want = {(d, i) for d, t in docs for i, x in items if brute(t.split(), x.split())}
+    hits = P.find_passages(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in hits} == want
+    assert (1, 1) in want and (2, 1) not in want and {i for _, i in want} == {1, 2, 3} and len(want) < 150
+    assert [(r["matched"], r["first_word"]) for r in hits if (r["doc_id"], r["item_id"]) == (1, 1)] == [(30, 3)]

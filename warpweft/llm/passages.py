@@ -1,11 +1,10 @@
 """Problem 7: passages of held-out texts inside documents.
 
-The n-grams of the held-out texts, normalised and hashed, are sent to the executors; document windows with enough of an item's n-grams are verified by
-the longest common subsequence of words. Items are a stated query set: they are taken in blocks of a fixed
+The words of the held-out texts, normalised and numbered, are sent to the executors. Every window of a document that holds enough of an item's words in any order
+is verified by the longest common subsequence of words; the others can't hold enough in order, so none is missed. Items are a stated query set: they are taken in blocks of a fixed
 number of words, so what is sent never grows with the documents nor, beyond a block, with the items.
 
-Defined results: a null or blank text, of a document or an item, has no words and takes part in no row; an item with fewer than ``SHORT``
-words is seeded by single words; repeated documents and items are reported one by one; a document holding an item twice is reported
+Defined results: a null or blank text, of a document or an item, has no words and takes part in no row; repeated documents and items are reported one by one; a document holding an item twice is reported
 once, with the best passage, the first among equals; text of any length is scanned whole; further columns don't matter.
 """
 
@@ -24,10 +23,6 @@ from pyspark.sql import functions as F
 from warpweft.llm.lookalike import bare_word_list
 
 SCHEMA = "doc_id bigint, item_id bigint, matched int, item_words int, first_word int, last_word int"
-#: Below this many words an item is found by its single words.
-SHORT = 8
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-
 
 _PAGE_LINE = re.compile(r"^[ \t]*[-–—][ \t]*\d{1,5}[ \t]*[-–—][ \t]*$\n?", re.M)
 _DIVISION = re.compile(r"[-‐\u00ad‑][\u200b-\u200f\u2060\ufeff]*[ \t]*\r?\n[ \t]*(?=[^\W_]|:)")
@@ -46,113 +41,93 @@ def text_words(text: str | None) -> list[str]:
     return bare_word_list(running_text(text)) if text else []
 
 
-def grams(words: np.ndarray) -> np.ndarray:
-    """Hashes of the pairs of neighbouring words; 0 where one of them is in no item."""
-    return np.where((words[:-1] != 0) & (words[1:] != 0), (words[:-1] * MULTIPLIER) ^ (words[1:] + np.uint64(0x632BE59BD9B4E019)), np.uint64(0))
-
-
 class Item:
-    """One held-out text: its words as bits, the words a passage must have, and the seeds that must meet in it."""
-
-    def __init__(self, item_id: int, words: np.ndarray, share: float, slack: int, seed_share: float):
-        self.item_id, self.n, self.reach = item_id, len(words), len(words) + slack
-        self.need = int(np.ceil(share * self.n))
-        self.bits: dict[int, int] = {}
-        for k, w in enumerate(words.tolist()):
-            self.bits[w] = self.bits.get(w, 0) | 1 << k
-        self.full = (1 << self.n) - 1
-        self.short = self.n < SHORT
-        self.seeds = np.unique(words if self.short else grams(words))
-        self.least = min(self.need, 1) if self.short else max(1, int(self.n * seed_share))
-
-    def common(self, words: list[int]) -> int:
-        """Length of the longest common subsequence with ``words`` (bit-parallel)."""
-        row, bits, full = self.full, self.bits, self.full
-        for w in words:
-            if u := row & bits.get(w, 0):
-                row = ((row + u) | (row - u)) & full
-        return (self.full & ~row).bit_count()
-
-    def best(self, words: list[int], low: int, high: int) -> tuple[int, int, int] | None:
-        """Best passage with the needed words that begins in ``words[low:high]``: matched, first and last word."""
-        region = words[low : high + self.reach]
-        if self.common(region) < self.need:
-            return None
-        found = None
-        for k in range(min(len(region), high - low)):
-            if region[k] in self.bits:
-                m = self.common(region[k : k + self.reach])
-                if m >= self.need and (not found or m > found[0]):
-                    found = (m, low + k, min(low + k + self.reach, len(words)) - 1)
-        return found
-
-
-def scan(doc_ids: np.ndarray, offsets: np.ndarray, flat: np.ndarray, items: list[Item]) -> list[tuple]:
-    """All hits of one batch of documents; ``flat`` holds their words one after another."""
+    """One held-out text: its words by number, those a passage must have, and how far a passage reaches."""
+
+    def __init__(self, item_id: int, words: np.ndarray, share: float, slack: int):
+        self.item_id, self.words, self.n, self.reach = item_id, words, len(words), len(words) + slack
+        self.need = max(1, int(np.ceil(share * self.n)))
+
+    def common(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, numbers: int) -> np.ndarray:
+        """Length of the longest common subsequence with each ``flat[start:end]`` (bit-parallel, 64 words of the item a limb)."""
+        k = np.arange(self.n)
+        bits = np.zeros((-(-self.n // 64), numbers), np.uint64)
+        np.bitwise_or.at(bits, (k // 64, self.words), np.uint64(1) << (k % 64).astype(np.uint64))
+        rows = [np.full(len(starts), 2**64 - 1, np.uint64) for _ in bits]
+        for step in range(int((ends - starts).max(initial=0))):
+            at = starts + step
+            word = np.where(at < ends, flat[np.minimum(at, len(flat) - 1)], 0)
+            carry = np.zeros(len(starts), np.uint64)
+            for limb, row in enumerate(rows):
+                u = row & bits[limb][word]
+                total = row + u
+                over = total < u
+                total += carry
+                carry = (over | (total < carry)).astype(np.uint64)
+                rows[limb] = total | (row & ~u)
+        return np.sum([np.bitwise_count(~row).astype(np.int64) for row in rows], axis=0)
+
+
+class Batch:
+    """The words of some documents, one document after another, with what all items need of them; word 0 is in no item."""
+
+    def __init__(self, offsets: np.ndarray, flat: np.ndarray, numbers: int):
+        self.offsets, self.flat, self.numbers = offsets, flat, numbers
+        self.owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        key = self.owner * numbers + flat
+        self.order = np.argsort(key, kind="stable")
+        key, line = key[self.order], np.arange(len(flat))
+        begins = np.concatenate([[True], key[1:] != key[:-1]])[: len(flat)]
+        self.rank, self.nth = np.empty_like(line), np.empty_like(line)
+        self.rank[self.order] = line
+        #: How often the same word stands in the document before.
+        self.nth[self.order] = line - np.maximum.accumulate(np.where(begins, line, 0))
+        self.many = np.zeros(numbers, np.int64)
+
+    def starts(self, item: Item) -> np.ndarray:
+        """Every place where a word of the item begins a window that holds the words needed in any order, each counted as often as the item has it at most.
+
+        No passage begins elsewhere: its first word in common is such a place.
+        """
+        words, counts = np.unique(item.words, return_counts=True)
+        self.many[words] = counts
+        at = np.flatnonzero((self.many > 0)[self.flat])
+        low, high = at[: max(0, len(at) - item.need + 1)], at[item.need - 1 :]
+        near = self.owner[low[(high - low < item.reach) & (self.owner[low] == self.owner[high])]]
+        alive = np.zeros(len(self.offsets), bool)
+        alive[near] = True
+        at = at[alive[self.owner[at]]]
+        # A word counts in the windows that begin after its last occurrence but as many as the item has.
+        back = self.many[self.flat[at]]
+        past = np.where(self.nth[at] >= back, self.order[np.maximum(self.rank[at] - back, 0)], -1)
+        first = np.maximum(np.maximum(past, at - item.reach) + 1, self.offsets[self.owner[at]])
+        held = np.cumsum(np.bincount(np.searchsorted(at, first), minlength=len(at))) - np.arange(len(at))
+        self.many[words] = 0
+        return at[held >= item.need]
+
+
+def scan(doc_ids: np.ndarray, offsets: np.ndarray, flat: np.ndarray, items: list[Item], numbers: int) -> list[tuple]:
+    """All hits of one batch of documents; ``flat`` holds the numbers of their words, less than ``numbers``, one document after another."""
     hits: list[tuple] = []
-    owner = np.repeat(np.arange(len(doc_ids)), np.diff(offsets))
-    for short in (False, True):
-        chosen = [i for i in items if i.short == short]
-        if not chosen or len(flat) < 2 - short:
-            continue
-        keys = flat if short else grams(flat)
-        seeds = np.concatenate([i.seeds for i in chosen])
-        order = np.argsort(seeds, kind="stable")
-        belongs = np.repeat(np.arange(len(chosen)), [len(i.seeds) for i in chosen])[order]
-        known, first, many = np.unique(seeds[order], return_index=True, return_counts=True)
-        at = np.searchsorted(known, keys)
-        at[at == len(known)] = 0
-        ok = known[at] == keys
-        if not short:
-            ok &= owner[:-1] == owner[1:]
-        where = np.flatnonzero(ok)
-        if not len(where):
-            continue
-        times = many[at[where]]
-        place = np.repeat(where, times)
-        begin = np.repeat(first[at[where]] - np.concatenate([[0], np.cumsum(times)[:-1]]), times)
-        item = belongs[begin + np.arange(len(place))]
-        seed = np.repeat(at[where], times)
-        order = np.lexsort((place, item, owner[place]))
-        place, item, seed = place[order], item[order], seed[order]
-        least = np.array([i.least for i in chosen])[item]
-        reach = np.array([i.reach for i in chosen])[item]
-        line = (owner[place] * len(chosen) + item) * (2 * len(flat) + int(reach.max()) + 1) + place
-        end = np.searchsorted(line, line + reach - 1)
-        good = end - np.arange(len(place)) >= least
-        previous: tuple | None = None
-        spans: dict[tuple[int, int], list[list[int]]] = {}
-        for k in np.flatnonzero(good).tolist():
-            if len(set(seed[k : end[k]].tolist())) < least[k]:
-                continue
-            d, i = int(owner[place[k]]), int(item[k])
-            low = max(int(offsets[d]), int(place[k]) - chosen[i].reach + 1)
-            high = int(place[k]) + 1
-            if previous == (d, i) and low <= spans[previous][-1][1]:
-                spans[previous][-1][1] = high
-            else:
-                previous = (d, i)
-                spans.setdefault(previous, []).append([low, high])
-        words, current = [], -1
-        for (d, i), ranges in spans.items():
+    batch = Batch(offsets, flat, numbers)
+    for item in items:
+        starts = batch.starts(item)
+        ends = np.minimum(starts + item.reach, offsets[batch.owner[starts] + 1])
+        matched = item.common(flat, starts, ends, numbers)
+        enough = matched >= item.need
+        starts, ends, matched = starts[enough], ends[enough], matched[enough]
+        order = np.lexsort((starts, -matched, batch.owner[starts]))
+        docs, best = np.unique(batch.owner[starts][order], return_index=True)
+        for d, k in zip(docs.tolist(), order[best].tolist()):
             base = int(offsets[d])
-            if d != current:
-                words, current = flat[base : int(offsets[d + 1])].tolist(), d
-            for low, high in ranges:
-                if b := chosen[i].best(words, low - base, max(high - base, low - base + 1)):
-                    hits.append((d, chosen[i].item_id, b[0], chosen[i].n, b[1], b[2]))
-    top: dict[tuple[int, int], tuple] = {}
-    for h in hits:
-        if h[:2] not in top or h[2] > top[h[:2]][2]:
-            top[h[:2]] = h
-    return [(int(doc_ids[h[0]]), *h[1:]) for h in top.values()]
-
-
-def find_passages(docs: DataFrame, items: DataFrame, share: float = 0.5, slack: int = 10, seed_share: float = 0.15, block_words: int = 200_000) -> DataFrame:
+            hits.append((int(doc_ids[d]), item.item_id, int(matched[k]), item.n, int(starts[k]) - base, int(ends[k]) - base - 1))
+    return hits
+
+
+def find_passages(docs: DataFrame, items: DataFrame, share: float = 0.5, slack: int = 10, block_words: int = 200_000) -> DataFrame:
     """Each document and item where one passage of the document, at most ``slack`` words longer than the item, holds ``share`` of the item's words in order.
 
-    A passage is looked at where at least ``seed_share`` times the item's number of words, one at least, of its different pairs of neighbouring words stand within reach:
-    half of an item misses this only if its words stand in runs of less than 1.4 words on the average. ``docs`` has ``doc_id, text``; ``items`` has ``item_id, text``.
+    The result is exact, however the words are scattered. ``docs`` has ``doc_id, text``; ``items`` has ``item_id, text``.
     Items are taken in blocks of about ``block_words`` words, each block a pass over the documents.
     """
     words = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
@@ -171,14 +146,14 @@ def find_passages(docs: DataFrame, items: DataFrame, share: float = 0.5, slack:
             for _, ws in sent.value:
                 for w in ws:
                     number.setdefault(w, len(number) + 1)
-            held = [Item(i, np.array([number[w] for w in ws], np.uint64), share, slack, seed_share) for i, ws in sent.value]
+            held = [Item(i, np.array([number[w] for w in ws], np.int64), share, slack) for i, ws in sent.value]
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 each = [[number.get(w, 0) for w in text_words(t)] for t in batch.column("text").to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])])
-                flat = np.fromiter(chain.from_iterable(each), np.uint64, int(offsets[-1]))
-                hits = scan(np.asarray(batch.column("doc_id")), offsets, flat, held)
+                flat = np.fromiter(chain.from_iterable(each), np.int64, int(offsets[-1]))
+                hits = scan(np.asarray(batch.column("doc_id")), offsets, flat, held, len(number) + 1)
                 if hits:
                     kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits), kinds)], names=[f.split()[0] for f in SCHEMA.split(", ")])
