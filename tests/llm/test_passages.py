@@ -63,3 +63,15 @@ def test_scattered_words(spark):
     assert {(r["doc_id"], r["item_id"]) for r in hits} == want
     assert (1, 1) in want and (2, 1) not in want and {i for _, i in want} == {1, 2, 3} and len(want) < 150
     assert [(r["matched"], r["first_word"]) for r in hits if (r["doc_id"], r["item_id"]) == (1, 1)] == [(30, 3)]
+
+
+def test_items_of_few_different_pairs(spark):
+    """A refrain of 40 words with 5 different pairs of neighbours, whole and in part, and an item that repeats itself less."""
+    refrain = "la li lo lu le".split() * 8
+    half = [f"w{k}" for k in range(20)] + ["tra", "la"] * 10
+    items = [(1, " ".join(refrain)), (2, " ".join(half)), (3, "ho " * 30)]
+    docs = [(1, "a b " + " ".join(refrain) + " c"), (2, " ".join(refrain[:20])), (3, " ".join(refrain[:19])), (4, "tra la " * 10), (5, "ho " * 15), (6, "ho " * 14)]
+    want = {(d, i) for d, t in docs for i, x in items if brute(t.split(), x.split())}
+    assert want == {(1, 1), (2, 1), (4, 2), (5, 3)}
+    hits = P.find_passages(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in hits} == want
