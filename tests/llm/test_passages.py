@@ -75,3 +75,14 @@ def test_items_of_few_different_pairs(spark):
     assert want == {(1, 1), (2, 1), (4, 2), (5, 3)}
     hits = P.find_passages(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in hits} == want
+
+
+def test_blocks_of_words(spark):
+    """Blocks are cut by words: 20 items of 20 words make more than one of 150 words, and one of 1000."""
+    items = [(k, " ".join(f"w{k}-{n}" for n in range(10))) for k in range(20)]
+    docs = spark.createDataFrame([(k, "x " + t) for k, t in items], "doc_id bigint, text string")
+    held = spark.createDataFrame(items, "item_id bigint, text string")
+    several, single = P.find_passages(docs, held, block_words=150), P.find_passages(docs, held, block_words=1000)
+    passes = [h._jdf.queryExecution().analyzed().toString().count("MapInArrow") for h in (several, single)]
+    assert passes[0] >= 3 and passes[1] == 1
+    assert sorted(several.collect()) == sorted(single.collect()) and {(k, k) for k in range(20)} <= {(r["doc_id"], r["item_id"]) for r in several.collect()}

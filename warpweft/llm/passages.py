@@ -132,7 +132,7 @@ def find_passages(docs: DataFrame, items: DataFrame, share: float = 0.5, slack:
     """
     words = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     test = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    total = test.agg(F.sum(F.size(F.split("text", r"\\s+")))).first()[0] or 0
+    total = test.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}\p{M}]+")))).first()[0] or 0
     blocks = max(1, -(-total // block_words))
     spark = docs.sparkSession
 
