@@ -51,3 +51,22 @@ def test_edge_cases(spark):
 def test_empty_tables(spark):
     found, who = frames(spark, [], [])
     assert found == {} and who == {}
+
+
+def test_small_sample_converges_to_the_same(spark):
+    """Beyond the sample, passes over all items go on until competences stand still, also for an annotator the sample lacks."""
+    rng = random.Random(4)
+    forms = ["alˈtɛr", "ˈaltɛr"]
+    items, votes = [], []
+    for k in range(300):
+        t = rng.randrange(2)
+        say = lambda good, t=t: f"dɔs {forms[t if rng.random() < good else 1 - t]} briv"
+        items.append((k, "x", f"dɔs {forms[t]} briv", say(0.8), say(0.7), None, "clash"))
+        votes += [(k, "good", say(0.97)), (k, "weak", say(0.6))] + ([(k, "seldom", say(0.95))] if k % 8 == 5 else [])
+    votes = [(n, k, r, ipa, None, 7) for n, (k, r, ipa) in enumerate(votes)]
+    per = C.readings(spark.createDataFrame(items, ITEMS), spark.createDataFrame(votes, VOTES)).cache()
+    sampled = per.where("size(array_distinct(readings)) > 1").orderBy(C.F.xxhash64("id"), "id").limit(4).collect()
+    assert not any("seldom" in r["annotators"] for r in sampled)
+    whole, few = C.fit(per)[0].competence, C.fit(per, sample_items=4)[0].competence
+    assert set(whole) == set(few) == {"flash", "pro", "good", "weak", "seldom"}
+    assert all(abs(whole[a] - few[a]) < 0.002 for a in whole)

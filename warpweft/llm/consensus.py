@@ -3,7 +3,8 @@
 A competence-and-spamming mixture: each label of an annotator is the truth with the annotator's competence, else a draw from the annotator's own
 guess distribution. Labels are the stressed nucleus of a contested word; guess distributions are kept for each number of
 nuclei, so that a habit such as always stressing the first one shows. Expectation-maximisation gives both. It begins on a bounded sample of
-contested items (``sample_items``, chosen by the hash of their id); then full passes over all items re-estimate every parameter, so that reliabilities and consensus rest on all votes.
+contested items (``sample_items``, chosen by the hash of their id); then full passes over all items re-estimate every parameter until no competence changes, so that
+reliabilities and consensus rest on all votes.
 
 Defined results: null, blank and ``?`` are no reading; of an annotator's votes on an item the latest counts, of votes at one time the one with the greatest id; repeated
 deliveries count once; votes on unknown items and of unnamed raters are left out; readings whose phones aren't those of the item have no vote on
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import warnings
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -22,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from warpweft.plans.session import checkpointed
+
 # Ways to type stress, phones with two spellings, nuclei of two characters, and the vowels.
 STRESS = "ˈ'ˋ`´′‘’ʹʼ＇"
 PHONES = {"ʦ": "ts", "ʧ": "tʃ", "ʤ": "dʒ", "ʣ": "dz", "ː": ":", "ɡ": "g", "∶": ":"}
@@ -29,6 +33,8 @@ NUCLEUS = re.compile("a:|aj|ɛj|ej|ɔj|oj|uj|oʊ|[aɛeiɪɔouʊəɐ]")
 NO_READING = {"", "?"}
 #: Label of a word without a stress mark.
 UNSTRESSED = -1
+#: Fitting ends when no competence changes by as much.
+SETTLED = 1e-4
 
 
 def typed(text: str) -> str:
@@ -153,6 +159,10 @@ class Model:
         guess = {(a, n, k): (g + 1 / (n + 1)) / (guesses[a, n] + 1) for (a, n, k), (_, g, _) in cells.items()}
         return cls(competence, guess)
 
+    def moved(self, before: Model) -> float:
+        """Greatest change of a competence; an annotator not met before had the one all begin with."""
+        return max((abs(c - before.parts(a, 1, 0)[0]) for a, c in self.competence.items()), default=0.0)
+
 
 def readings(items: DataFrame, votes: DataFrame) -> DataFrame:
     """``(id, ipa, annotators, readings)``: per item all annotators with a reading; at most one per annotator."""
@@ -174,10 +184,10 @@ def _each(batch: pd.DataFrame) -> Iterator[tuple]:
         yield row.id, row.ipa, [names[k] for k in keep], [told[k] for k in keep]
 
 
-def fit(per_item: DataFrame, sample_items: int = 20_000, rounds: int = 50, full_passes: int = 2, max_annotators: int = 100_000) -> tuple[Model, DataFrame]:
+def fit(per_item: DataFrame, sample_items: int = 20_000, rounds: int = 50, full_passes: int = 2, max_annotators: int = 100_000, max_passes: int = 200) -> tuple[Model, DataFrame]:
     """The fitted model, and ``(annotator, n_nuclei, label, truthful, guessed, n)`` from the last pass over all items.
 
-    Collected are ``sample_items`` items and one row per annotator, number of nuclei and label; more than ``max_annotators`` annotators raise an error.
+    Passes over all items, ``full_passes`` at least, end when no competence changes by 1e-4 or more; if ``max_passes`` don't suffice, a warning is given. Collected are ``sample_items`` items and one row per annotator, number of nuclei and label; more than ``max_annotators`` annotators raise an error.
     """
     contested = per_item.where("size(array_distinct(readings)) > 1")
     sample = contested.orderBy(F.xxhash64("id"), "id").limit(sample_items).toPandas()
@@ -187,11 +197,11 @@ def fit(per_item: DataFrame, sample_items: int = 20_000, rounds: int = 50, full_
         cells: dict = defaultdict(lambda: [0.0, 0.0, 0])
         for s, names in found:
             model.expected(s, names, cells)
-        before, model = model.competence, Model.fitted(cells)
-        if before and max((abs(model.competence[a] - before[a]) for a in before), default=0) < 1e-4:
+        before, model = model, Model.fitted(cells)
+        if before.competence and model.moved(before) < SETTLED:
             break
-    stats = None
-    for _ in range(full_passes):
+    contested = checkpointed(contested)  # read in every pass
+    for n_pass in range(1, max_passes + 1):
         sent = per_item.sparkSession.sparkContext.broadcast(model)
 
         def count(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
@@ -206,7 +216,12 @@ def fit(per_item: DataFrame, sample_items: int = 20_000, rounds: int = 50, full_
         rows = stats.limit(max_annotators * 20 + 1).collect()
         if len({r["annotator"] for r in rows}) > max_annotators or len(rows) > max_annotators * 20:
             raise ValueError(f"more than {max_annotators} annotators")
-        model = Model.fitted({(r["annotator"], r["n_nuclei"], r["label"]): (r["truthful"], r["guessed"], r["n"]) for r in rows})
+        before, model = model, Model.fitted({(r["annotator"], r["n_nuclei"], r["label"]): (r["truthful"], r["guessed"], r["n"]) for r in rows})
+        change = model.moved(before)
+        if n_pass >= full_passes and change < SETTLED:
+            break
+    else:
+        warnings.warn(f"competence still changes by {change:.1g} after {max_passes} passes", stacklevel=2)
     return model, stats
 
 
