@@ -43,3 +43,10 @@ def test_canonical_member(spark):
     df = spark.createDataFrame([("w", k, v) for k, v in rows], "field string, id string, value string")
     got = {r["id"]: (r["form"], r["canonical"], r["n_values"]) for r in C.canonical_values(df).collect()}
     assert got == {"1": ("א", "א", 2), "2": ("א", "א", 2), "3": ("א", "א", 2), "4": (None, None, 1), "5": ("", "", 1), "6": ("ב", "ב", 1)}
+
+
+def test_latin_letters_in_cyrillic_and_greek_words(spark):
+    """One word typed with a Cyrillic or Greek letter and with its Latin look-alike; another letter stays a difference."""
+    rows = [("1", "привет"), ("2", "привeт"), ("3", "λογος"), ("4", "λoγoς"), ("5", "приват"), ("6", "гут привет"), ("7", "гут пpивет")]
+    assert pairs(spark, rows) == {("1", "2"), ("3", "4"), ("6", "7")}
+    assert not spark.sql("SELECT 'привeт' AS a, 'привет' AS b").where(look_form(F.col("a")) == look_form(F.col("b"))).count()

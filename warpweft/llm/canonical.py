@@ -1,6 +1,6 @@
 """Problem 2: one consistent form of values that look the same.
 
-Values are mapped by ``look_form``, grouped in SQL under the accent-sensitive collation UNICODE, and each class gets
+Values are mapped by ``look_form``, Latin look-alikes in every word, grouped in SQL under the accent-sensitive collation UNICODE, and each class gets
 a canonical member, which is joined back. Defined results: a null or blank value is its own form and never a case; repeated rows keep
 their own ids; an empty table gives no rows; ties between members go to the most frequent, then the least string; texts of
 any length are compared whole; further columns of the table don't matter.
@@ -32,7 +32,7 @@ def look_classes(values: DataFrame) -> DataFrame:
     """
     spark = values.sparkSession
     counted = (
-        values.where(F.col("value").isNotNull()).groupBy("field", "value").agg(F.count("*").alias("n")).withColumn("look", look_form(F.col("value")))
+        values.where(F.col("value").isNotNull()).groupBy("field", "value").agg(F.count("*").alias("n")).withColumn("look", look_form(F.col("value"), every_word=True))
     )
     counted.where("look <> ''").createOrReplaceTempView("warpweft_look_values")
     grouped = spark.sql(
@@ -51,7 +51,7 @@ def canonical_values(values: DataFrame) -> DataFrame:
     values ``form`` and ``canonical`` are the value itself.
     """
     classes = look_classes(values)
-    mapped = values.withColumn("look_own", F.coalesce(look_form(F.col("value")), F.lit("")))
+    mapped = values.withColumn("look_own", F.coalesce(look_form(F.col("value"), every_word=True), F.lit("")))
     keyed = mapped.where("look_own <> ''").withColumn("class", F.collate(F.col("look_own"), COLLATION))
     joined = keyed.join(classes.withColumnRenamed("look", "form"), ["field", "class"], "left").select(
         "field", "id", "value", "look_own", F.col("form").alias("form"), "canonical", "n_values"

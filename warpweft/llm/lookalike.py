@@ -71,21 +71,24 @@ def decomposed(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(None)).when(plain, safe).otherwise(done)
 
 
-def look_form(text: Column) -> Column:
+def look_form(text: Column, every_word: bool = False) -> Column:
     """One form for all values that look the same; null stays null.
 
     Invisible characters go; a run of blanks becomes one blank, none at the ends; apostrophes, quotes and hyphens
     become one sign each; digits, Latin letters and punctuation take the form of their look-alikes; the
     one-character forms of two letters become two letters; marks are decomposed and ordered. A Latin letter of another script is only
-    mapped in a word that has no other letter of that script, so that Russian or Greek words keep theirs.
+    mapped in a word that has no other letter of that script, so that Russian or Greek words keep theirs; with ``every_word`` it always is.
     """
     t = F.regexp_replace(text, INVISIBLE, "")
     t = decomposed(t)
     t = F.translate(t, *look_pairs(False))
     source = "".join(k for kinds in LATIN_LOOKALIKES.values() for k in kinds)
     target = "".join(sign for sign, kinds in LATIN_LOOKALIKES.items() for _ in kinds)
-    rare = F.regexp_replace(t, f"[{source}]", "")
-    t = F.when(rare == t, t).when(rare.rlike(r"[\p{IsCyrillic}\p{IsGreek}]"), translate_by_word(t, source, target)).otherwise(F.translate(t, source, target))
+    if every_word:
+        t = F.translate(t, source, target)
+    else:
+        rare = F.regexp_replace(t, f"[{source}]", "")
+        t = F.when(rare == t, t).when(rare.rlike(r"[\p{IsCyrillic}\p{IsGreek}]"), translate_by_word(t, source, target)).otherwise(F.translate(t, source, target))
     for one, two in DIGRAPHS.items():
         t = F.replace(t, F.lit(one), F.lit(two))
     return F.trim(F.regexp_replace(t, BLANKS, " "))
