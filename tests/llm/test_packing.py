@@ -1,9 +1,11 @@
 from itertools import product
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from warpweft.llm import packing as P
+from warpweft.llm import queries as Q
 
 
 @settings(max_examples=60, deadline=None)
@@ -39,3 +41,14 @@ def test_token_counts(spark):
     docs = spark.createDataFrame([(1, "a b", 5), (2, None, 5), (3, "", 5), (4, "wort " * 5000, 5)], "doc_id bigint, text string, tokens bigint")
     got = {r["doc_id"]: r["tokens"] for r in P.token_counts(docs).collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] >= 5000
+
+
+@pytest.mark.parametrize("query, table, columns", [(Q.p6_pack, "pack_plan", "plan_name string, capacity int"), (Q.p3_splits, "split_plan", "split_name string, share double")])
+def test_plans_beyond_the_bound_are_an_error(spark, tmp_path, query, table, columns):
+    kind = int if "int" in columns else float
+    for n in (1000, 1001):
+        spark.createDataFrame([(f"p{k}", kind(k + 1)) for k in range(n)], columns).write.mode("overwrite").parquet(f"{tmp_path}/{table}.parquet")
+        if n == 1000:
+            assert len(Q._plan(spark, tmp_path, table, columns.split()[0])) == n
+    with pytest.raises(ValueError, match=f"{table} has more than 1000 rows"):
+        query(spark, str(tmp_path))

@@ -16,6 +16,18 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Plans are a table made by hand; one with more rows is an error.
+MOST_PLANS = 1000
+
+
+def _plan(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> list[tuple]:
+    """All rows of a plan table."""
+    rows = _t(spark, sf_dir, name).select(*columns).limit(MOST_PLANS + 1).collect()
+    if len(rows) > MOST_PLANS:
+        raise ValueError(f"{name} has more than {MOST_PLANS} rows")
+    return [tuple(r) for r in rows]
+
+
 def _p1_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.readings(_t(spark, sf_dir, "stress_tts"), _t(spark, sf_dir, "stress_votes"))
 
@@ -61,7 +73,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = [(r["split_name"], r["share"]) for r in _t(spark, sf_dir, "split_plan").limit(1000).collect()]
+    plan = _plan(spark, sf_dir, "split_plan", "split_name", "share")
     rows = _p3_rows(spark, sf_dir)
     return groups.assign_splits(rows, "row_key", groups.named_groups(rows, _t(spark, sf_dir, "episode_meta")), plan)
 
@@ -100,7 +112,7 @@ def p5_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans = [(r["plan_name"], r["capacity"]) for r in _t(spark, sf_dir, "pack_plan").limit(1000).collect()]
+    plans = _plan(spark, sf_dir, "pack_plan", "plan_name", "capacity")
     return packing.pack(packing.token_counts(spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))), plans)
 
 
