@@ -48,3 +48,8 @@ def test_phones(spark):
     assert one(spark, "bamˈɛrkt", P.stressed_nucleus(v)) == 2 and one(spark, "bam", P.stressed_nucleus(v)) is None
     assert one(spark, "a b | c [note] |a b|", P.variants(v)) == ["a b", "c"]
     assert one(spark, "aːj", P.one_char_each(v)) == "Aj" and one(spark, "ʃtrip", P.longest_consonant_run(v)) == 3
+
+
+def test_letter_units_keep_all_marks(spark):
+    (base, marks), after = [tuple(u) for u in one(spark, "א" + "ָ" * 150 + "ב", T.letter_units(F.col("v")))]
+    assert base == "א" and marks == "ָ" * 150 and after == ("ב", "")

@@ -95,7 +95,7 @@ def clean_markup(text: Column) -> Column:
 def letter_units(word: Column) -> Column:
     """``[(base, marks)]``: each character that isn't a mark with the marks after it."""
     unit = F.regexp_extract_all(decomposed(word), F.lit(r"(\P{Mn}\p{Mn}*)"), F.lit(1))
-    return F.transform(unit, lambda u: F.struct(F.substring(u, 1, 1).alias("base"), F.substring(u, 2, 100).alias("marks")))
+    return F.transform(unit, lambda u: F.struct(F.substring(u, 1, 1).alias("base"), F.substring(u, F.lit(2), F.length(u)).alias("marks")))
 
 
 def join_marks(text: Column, marks: Column) -> Column:
