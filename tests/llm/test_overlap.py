@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from warpweft.llm import overlap as O
 
@@ -58,6 +59,29 @@ def test_look_and_edge_cases(spark):
     assert run(spark, [])[0] == set()
 
 
-def test_key_count_is_bounded_for_long_texts():
-    words = np.arange(6000, dtype=np.uint64) * np.uint64(7919)
+@pytest.mark.parametrize("n", [50, 78, 79, 118, 300, 301, 450, 600, 900, 6000])
+def test_key_count_is_bounded_for_long_texts(n):
+    words = np.arange(n, dtype=np.uint64) * np.uint64(7919)
     assert len(O.rare_keys(words, np.ones(O.BUCKETS, np.int64))) < 10_000
+
+
+def test_long_texts_near_their_bounds(spark):
+    rng = random.Random(5)
+    rows = []
+    for n in (75, 85, 290, 310, 600):
+        text = [f"w{rng.randrange(4000):04d}x" for _ in range(n)]
+        text = [t.translate(str.maketrans("0123456789", "abcdefghij")) for t in text]
+        rows.append(("train", f"t{n}", " ".join(text)))
+        for share in (0.30, 0.36):
+            new = list(text)
+            for at in rng.sample(range(n), int(share * n)):
+                new[at] = "fremd" + chr(97 + at % 26)
+            rows.append(("eval", f"e{n}-{share}", " ".join(new)))
+    got, _ = run(spark, rows)
+    assert got == {(f"e{n}-0.3", f"t{n}") for n in (75, 85, 290, 310, 600)}
+
+
+def test_nothing_of_unknown_size_is_sent_whole(spark):
+    df = spark.createDataFrame([("train", "a", "eins zwei drei vier"), ("eval", "b", "eins zwei drei vier")], "side string, id string, text string")
+    plan = O.overlap_pairs(*O.linked_texts(df))._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan

@@ -26,7 +26,7 @@ from warpweft.plans.session import checkpointed
 #: Buckets of the word counts by which rarity is judged: the size of what is collected and sent.
 BUCKETS = 1 << 16
 #: Words in a key for texts of up to so many words; the third kind has one word.
-SPAN_OF_THREE, SPAN_OF_TWO = 78, 900
+SPAN_OF_THREE, SPAN_OF_TWO = 78, 300
 
 
 def key_widths(n: int) -> list[int]:
@@ -64,17 +64,26 @@ def rare_keys(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
+def shuffled(a: DataFrame, b: DataFrame, on: str | list[str]) -> DataFrame:
+    """Both sides shuffled and merged. Sizes of keys and texts are unknown to the planner before they are exploded, so it must not choose to send a side whole."""
+    return a.hint("merge").join(b.hint("merge"), on)
+
+
 def distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(side, id, split, source, uid)`` of ``(side, id, text, split, source)``, the last two if there, and its distinct texts ``(uid, words, in_train, in_eval)``."""
+    """``(side, id, split, source, uid, chk)`` of ``(side, id, text, split, source)``, the last two if there, and its distinct texts ``(uid, chk, words, in_train, in_eval)``.
+
+    A text is told from all others by two independent hashes of its canonical form, ``uid`` and ``chk``.
+    """
     rows = rows.select(*[c for c in ("side", "id", "text", "split", "source") if c in rows.columns])
-    canon = rows.withColumn("canon", F.array_join(bare_words(F.col("text")), " ")).where("canon <> ''").withColumn("uid", F.xxhash64("canon")).drop("text")
+    canon = rows.withColumn("canon", F.array_join(bare_words(F.col("text")), " ")).where("canon <> ''").drop("text")
+    canon = canon.withColumn("uid", F.xxhash64("canon")).withColumn("chk", F.xxhash64(F.lit("chk"), "canon"))
     # Written once: canonicalising is the dearest step and its result is read for texts and for both sides' rows.
     canon = checkpointed(canon)
-    texts = canon.groupBy("uid").agg(
+    texts = canon.groupBy("uid", "chk").agg(
         F.first("canon").alias("canon"), F.max(F.col("side") == "train").alias("in_train"), F.max(F.col("side") == "eval").alias("in_eval")
     )
     words = F.transform(F.split("canon", " "), lambda w: F.xxhash64(w))
-    return canon.drop("canon"), texts.select("uid", words.alias("words"), "in_train", "in_eval")
+    return canon.drop("canon"), texts.select("uid", "chk", words.alias("words"), "in_train", "in_eval")
 
 
 def word_counts(texts: DataFrame) -> np.ndarray:
@@ -93,7 +102,7 @@ def _coded(words: Column, turn: int) -> Column:
 
 
 def near_pairs(texts: DataFrame) -> DataFrame:
-    """``(uid_eval, uid_train, distance, n_words)``: different texts with fewer edits than a third of the words of the longer one."""
+    """``(uid_eval, chk_eval, uid_train, chk_train, distance, n_words)``: different texts with fewer edits than a third of the words of the longer one."""
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(word_counts(texts))
 
@@ -117,39 +126,39 @@ def near_pairs(texts: DataFrame) -> DataFrame:
     t = keyed.where("in_train").select(F.col("uid").alias("uid_train"), F.col("n").alias("n_t"), F.col("bits").alias("b_t"), F.explode("keys").alias("key"))
     # Each edit takes out one word and puts in one word at most, so it changes two of the 64 bits for which words stand.
     possible = "3 * least(n_e, n_t) > 2 * greatest(n_e, n_t) AND bit_count(b_e ^ b_t) <= 2 * ((greatest(n_e, n_t) + 2) div 3 - 1)"
-    met = e.join(t, "key").where(f"uid_eval <> uid_train AND {possible}").select("uid_eval", "uid_train").distinct()
-    coded = texts.select("uid", F.size("words").alias("n"), _coded(F.col("words"), 0).alias("c"), _coded(F.col("words"), 31).alias("c2"))
-    ce = coded.select(F.col("uid").alias("uid_eval"), F.col("n").alias("n_e"), F.col("c").alias("c_e"), F.col("c2").alias("c2_e"))
-    ct = coded.select(F.col("uid").alias("uid_train"), F.col("n").alias("n_t"), F.col("c").alias("c_t"), F.col("c2").alias("c2_t"))
-    pairs = met.join(ce, "uid_eval").join(ct, "uid_train").withColumn("n_words", F.greatest("n_e", "n_t"))
+    met = shuffled(e, t, "key").where(f"uid_eval <> uid_train AND {possible}").select("uid_eval", "uid_train").distinct()
+    coded = texts.select("uid", "chk", F.size("words").alias("n"), _coded(F.col("words"), 0).alias("c"), _coded(F.col("words"), 31).alias("c2"))
+    ce = coded.select(F.col("uid").alias("uid_eval"), F.col("chk").alias("chk_eval"), F.col("n").alias("n_e"), F.col("c").alias("c_e"), F.col("c2").alias("c2_e"))
+    ct = coded.select(F.col("uid").alias("uid_train"), F.col("chk").alias("chk_train"), F.col("n").alias("n_t"), F.col("c").alias("c_t"), F.col("c2").alias("c2_t"))
+    pairs = shuffled(shuffled(met, ce, "uid_eval"), ct, "uid_train").withColumn("n_words", F.greatest("n_e", "n_t"))
     bound = "cast((n_words + 2) div 3 - 1 as int)"
     pairs = pairs.withColumn("distance", F.expr(f"levenshtein(c_e, c_t, {bound})")).where("distance >= 0")
-    return pairs.where(F.expr(f"levenshtein(c2_e, c2_t, {bound})") >= 0).select("uid_eval", "uid_train", "distance", "n_words")
+    return pairs.where(F.expr(f"levenshtein(c2_e, c2_t, {bound})") >= 0).select("uid_eval", "chk_eval", "uid_train", "chk_train", "distance", "n_words")
 
 
 def linked_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows with the id of their distinct text, and all links ``(uid_eval, uid_train, distance, n_words)``, exact ones with distance 0."""
+    """The rows with the hashes of their distinct text, and all links ``(uid_eval, chk_eval, uid_train, chk_train, distance, n_words)``, exact ones with distance 0."""
     members, texts = distinct_texts(rows)
     texts = checkpointed(texts)
-    exact = texts.where("in_train AND in_eval").select(F.col("uid").alias("uid_eval"), F.col("uid").alias("uid_train"), F.lit(0).alias("distance"), F.size("words").alias("n_words"))
+    exact = texts.where("in_train AND in_eval").select(F.col("uid").alias("uid_eval"), F.col("chk").alias("chk_eval"), F.col("uid").alias("uid_train"), F.col("chk").alias("chk_train"), F.lit(0).alias("distance"), F.size("words").alias("n_words"))
     return members, exact.unionByName(near_pairs(texts))
 
 
 def overlap_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """``(id_a, id_b)``: every evaluation row with every training row that it is linked with, the smaller key first."""
-    e = members.where("side = 'eval'").select(F.col("uid").alias("uid_eval"), F.col("id").alias("id_eval"))
-    t = members.where("side = 'train'").select(F.col("uid").alias("uid_train"), F.col("id").alias("id_train"))
-    both = links.join(e, "uid_eval").join(t, "uid_train")
+    e = members.where("side = 'eval'").select(F.col("uid").alias("uid_eval"), F.col("chk").alias("chk_eval"), F.col("id").alias("id_eval"))
+    t = members.where("side = 'train'").select(F.col("uid").alias("uid_train"), F.col("chk").alias("chk_train"), F.col("id").alias("id_train"))
+    both = shuffled(shuffled(links, e, ["uid_eval", "chk_eval"]), t, ["uid_train", "chk_train"])
     return both.select(F.least("id_eval", "id_train").alias("id_a"), F.greatest("id_eval", "id_train").alias("id_b"))
 
 
 def overlap_report(members: DataFrame, links: DataFrame) -> DataFrame:
     """Per split and source: rows, rows with an equal or a near training row, and pairs. Counted per distinct text before rows are joined."""
-    train = members.where("side = 'train'").groupBy(F.col("uid").alias("uid_train")).agg(F.count("*").alias("n_train"))
-    per = links.join(train, "uid_train").groupBy(F.col("uid_eval").alias("uid")).agg(
+    train = members.where("side = 'train'").groupBy(F.col("uid").alias("uid_train"), F.col("chk").alias("chk_train")).agg(F.count("*").alias("n_train"))
+    per = shuffled(links, train, ["uid_train", "chk_train"]).groupBy(F.col("uid_eval").alias("uid"), F.col("chk_eval").alias("chk")).agg(
         F.sum(F.when(F.col("distance") == 0, F.col("n_train")).otherwise(0)).alias("n_exact"), F.sum("n_train").alias("n_links")
     )
-    rows = members.where("side = 'eval'").join(per, "uid", "left")
+    rows = members.where("side = 'eval'").hint("merge").join(per.hint("merge"), ["uid", "chk"], "left")
     return rows.groupBy("split", "source").agg(
         F.count("*").alias("n_rows"), F.count_if(F.col("n_exact") > 0).alias("n_rows_exact"), F.count_if(F.col("n_links") > 0).alias("n_rows_overlapping"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("n_pairs")
     )
