@@ -50,3 +50,11 @@ def test_latin_letters_in_cyrillic_and_greek_words(spark):
     rows = [("1", "привет"), ("2", "привeт"), ("3", "λογος"), ("4", "λoγoς"), ("5", "приват"), ("6", "гут привет"), ("7", "гут пpивет")]
     assert pairs(spark, rows) == {("1", "2"), ("3", "4"), ("6", "7")}
     assert not spark.sql("SELECT 'привeт' AS a, 'привет' AS b").where(look_form(F.col("a")) == look_form(F.col("b"))).count()
+
+
+def test_two_code_points_of_one_drawn_point(spark):
+    rows = [("1", "קׇל"), ("2", "קָל"), ("3", "קַל"), ("4", "קל"), ("5", "קָ֑ל")]
+    assert pairs(spark, rows) == {("1", "2")}
+    df = spark.createDataFrame([("w", k, v) for k, v in rows], "field string, id string, value string")
+    forms = [r["form"] for r in C.canonical_values(df).orderBy("id").collect()]
+    assert forms[0] == forms[1] and len(set(forms)) == 4

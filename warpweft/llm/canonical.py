@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from warpweft.llm.lookalike import look_form
+from warpweft.plans.session import checkpointed
 
 COLLATION = "UNICODE"
 
@@ -24,24 +25,22 @@ def long_values(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def look_classes(values: DataFrame) -> DataFrame:
-    """``(field, look, canonical, n_values, n_rows)``: a row for each class of equal-looking values of a field.
+def look_classes(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(field, value, look)``, each value of a field once, and ``(field, look, canonical, n_values, n_rows)``, a row for each class of equal-looking values.
 
-    The classes are those of the collation; ``look``, the least mapped form of the class, names it. Repeated values are counted first,
-    so that a hot value is a single row when classes are formed.
+    Classes are those of the collation; since it ignores some marks, members of a class whose mapped forms aren't the same string are
+    parted. Repeated values are counted first, so that a hot value is a single row when classes are formed.
     """
     spark = values.sparkSession
-    counted = (
-        values.where(F.col("value").isNotNull()).groupBy("field", "value").agg(F.count("*").alias("n")).withColumn("look", look_form(F.col("value"), every_word=True))
-    )
-    counted.where("look <> ''").createOrReplaceTempView("warpweft_look_values")
+    counted = values.where(F.col("value").isNotNull()).groupBy("field", "value").agg(F.count("*").alias("n"))
+    # The mapped form is dear and read twice.
+    counted = checkpointed(counted.withColumn("look", look_form(F.col("value"), every_word=True)).where("look <> ''"))
+    counted.createOrReplaceTempView("warpweft_look_values")
     grouped = spark.sql(
-        f"""SELECT field, look COLLATE {COLLATION} AS class, min(look) AS look, sum(n) AS n_rows, count(*) AS n_values,
-                   max_by(value, struct(n, -length(value))) AS by_count,
-                   min_by(value, struct(-n, value)) AS canonical
-            FROM warpweft_look_values GROUP BY field, look COLLATE {COLLATION}"""
+        f"""SELECT field, look, min_by(value, struct(-n, value)) AS canonical, count(*) AS n_values, sum(n) AS n_rows
+            FROM warpweft_look_values GROUP BY field, look COLLATE {COLLATION}, look"""
     )
-    return grouped.select("field", "class", "look", "canonical", "n_values", "n_rows")
+    return counted.select("field", "value", "look"), grouped
 
 
 def canonical_values(values: DataFrame) -> DataFrame:
@@ -50,24 +49,21 @@ def canonical_values(values: DataFrame) -> DataFrame:
     ``form`` is the mapped form, equal for all members of a class; ``canonical`` the chosen member as stored. For null and blank
     values ``form`` and ``canonical`` are the value itself.
     """
-    classes = look_classes(values)
-    mapped = values.withColumn("look_own", F.coalesce(look_form(F.col("value"), every_word=True), F.lit("")))
-    keyed = mapped.where("look_own <> ''").withColumn("class", F.collate(F.col("look_own"), COLLATION))
-    joined = keyed.join(classes.withColumnRenamed("look", "form"), ["field", "class"], "left").select(
-        "field", "id", "value", "look_own", F.col("form").alias("form"), "canonical", "n_values"
+    each, classes = look_classes(values)
+    known = each.join(classes, ["field", "look"])
+    joined = values.join(known, ["field", "value"], "left")
+    return joined.select(
+        "field", "id", "value", F.coalesce("look", "value").alias("form"), F.coalesce("canonical", "value").alias("canonical"), F.coalesce("n_values", F.lit(1)).cast("long").alias("n_values")
     )
-    blank = mapped.where("look_own = ''").select("field", "id", "value", "look_own", F.col("value").alias("form"), F.col("value").alias("canonical"), F.lit(1).cast("long").alias("n_values"))
-    return joined.unionByName(blank)
 
 
 def lookalike_pairs(values: DataFrame, numeric_key: bool) -> DataFrame:
     """``(field, id_a, id_b)``: rows whose values look the same but are different strings.
 
     Only classes with two or more different strings take part. Within these the join is on class, and exact copies never pair.
-    The collation forms the classes; equality of the mapped forms is checked after it.
     """
-    rows = canonical_values(values).where("n_values > 1 AND look_own <> ''").select("field", "id", "value", "look_own", F.xxhash64("field", "form").alias("k"))
+    rows = canonical_values(values).where("n_values > 1").select("field", "id", "value", "form", F.xxhash64("field", "form").alias("k"))
     a, b = rows.alias("a"), rows.alias("b")
     before = F.col("a.id").cast("long") < F.col("b.id").cast("long") if numeric_key else F.col("a.id") < F.col("b.id")
-    met = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.look_own") == F.col("b.look_own")) & (F.col("a.field") == F.col("b.field")) & before & (F.col("a.value") != F.col("b.value")))
+    met = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.form") == F.col("b.form")) & (F.col("a.field") == F.col("b.field")) & before & (F.col("a.value") != F.col("b.value")))
     return met.select(F.col("a.field").alias("field"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))

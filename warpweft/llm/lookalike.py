@@ -29,6 +29,8 @@ PUNCTUATION_LOOKALIKES = {",": "‚，﹐", ".": "．․﹒。", "!": "！ǃ﹗"
 # Yiddish one-character forms and the letters they stand for; mathematical forms of Hebrew letters.
 DIGRAPHS = {"װ": "וו", "ױ": "וי", "ײ": "יי"}
 HEBREW_SYMBOLS = {"ℵ": "א", "ℶ": "ב", "ℷ": "ג", "ℸ": "ד"}
+# A vowel point that is drawn like another one, after that one.
+POINT_LOOKALIKES = {"\u05b8": "\u05c7"}
 
 INVISIBLE = r"[\p{Cf}͏ᅟᅠ᠋-᠍︀-️]"
 BLANKS = r"[\s\p{Z}\u0085]+"
@@ -51,7 +53,7 @@ def compatibility_pairs() -> tuple[str, str]:
 def look_pairs(fold_case_alike: bool = True) -> tuple[str, str]:
     """The whole one-to-one table as the two arguments of ``translate``."""
     table = dict(zip(*compatibility_pairs()))
-    groups = [*PUNCTUATION_LOOKALIKES.items(), ("'", APOSTROPHES), ('"', QUOTES), ("-", HYPHENS), *HEBREW_SYMBOLS_GROUPS()]
+    groups = [*PUNCTUATION_LOOKALIKES.items(), ("'", APOSTROPHES), ('"', QUOTES), ("-", HYPHENS), *HEBREW_SYMBOLS_GROUPS(), *POINT_LOOKALIKES.items()]
     if fold_case_alike:
         groups += LATIN_LOOKALIKES.items()
     for sign, kinds in groups:

@@ -57,7 +57,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts, words = _p2_values(spark, sf_dir)
-    return canonical.canonical_values(texts.unionByName(words)).drop("look_own")
+    return canonical.canonical_values(texts.unionByName(words))
 
 
 def _p3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
