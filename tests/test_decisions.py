@@ -11,10 +11,9 @@ def test_cascade_and_slots(spark):
     assert one.select(D.substitute_slots(F.col("a"), F.col("m"))).first()[0] == ["p", "b", "t"]
 
 
-def test_elide_offsets_zip(spark):
+def test_elide_and_zip(spark):
     df = spark.createDataFrame([(["a", "bb", "c"], [False, True, None]), ([], []), (["a"], [])], "w array<string>, d array<boolean>")
     assert [r[0] for r in df.select(D.elide(F.col("w"), F.col("d"))).collect()] == ["a c", "", None]
-    assert [[tuple(x) for x in r[0]] for r in df.select(D.offsets(F.col("w"))).collect()][0] == [("a", 0, 1), ("bb", 2, 4), ("c", 5, 6)]
     pairs = spark.createDataFrame([(["a"], ["x"]), (["a"], []), (None, ["x"])], "a array<string>, b array<string>")
     assert [len(r[0]) for r in pairs.select(D.zip_equal(F.col("a"), F.col("b"))).collect()] == [1, 0, 0]
 

@@ -25,17 +25,6 @@ def elide(words: Column, dropped: Column) -> Column:
     return F.when(F.size(words) == F.size(dropped), F.array_join(kept, " "))
 
 
-def offsets(words: Column) -> Column:
-    """``(word, begin, end)`` of words that are joined by one blank, in characters from 0."""
-    start = F.array().cast("array<struct<word:string,begin:int,end:int>>")
-
-    def step(acc: Column, w: Column) -> Column:
-        begin = F.coalesce(F.get(acc, F.size(acc) - 1)["end"] + 1, F.lit(0))
-        return F.array_append(acc, F.struct(w.alias("word"), begin.alias("begin"), (begin + F.length(w)).alias("end")))
-
-    return F.aggregate(words, start, step)
-
-
 def zip_equal(a: Column, b: Column) -> Column:
     """Pairs ``(a, b)`` of two arrays, none if they differ in length."""
     return F.when(F.size(a) == F.size(b), F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b")))).otherwise(F.array().cast("array<struct<a:string,b:string>>"))

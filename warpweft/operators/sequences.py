@@ -61,12 +61,16 @@ def contexts(rows: DataFrame, key: str, words: str, reach: int = 3, most: int =
     return ranked.select("word", "context", "rank")
 
 
-def word_runs(words: Column, n: int) -> Column:
-    """All runs of ``n`` neighbouring words, joined by blanks, in order; null where a word is null. Shifted arrays are zipped, which copies no run."""
+def word_runs(words: Column, n: int, follow: Column | None = None) -> Column:
+    """All runs of ``n`` neighbouring words, joined by blanks, in order; null where a word is null. Shifted arrays are zipped, which copies no run.
+
+    ``follow`` has the words again, with null for those that may begin a run but not go on with one.
+    """
+    follow = words if follow is None else follow
     many = F.greatest(F.size(words) - n + 1, F.lit(0))
     runs = F.slice(words, F.lit(1), many)
     for k in range(1, n):
-        runs = F.zip_with(runs, F.slice(words, F.lit(k + 1), many), lambda a, b: F.concat(a, F.lit(" "), b))
+        runs = F.zip_with(runs, F.slice(follow, F.lit(k + 1), many), lambda a, b: F.concat(a, F.lit(" "), b))
     return runs
 
 
@@ -85,14 +89,14 @@ def mine_ngrams(rows: DataFrame, words: str, sizes: tuple[int, ...], least: int)
     return rows.select(F.explode(every).alias("g")).groupBy(F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(F.count("*").alias("count")).where(F.col("count") >= least)
 
 
-def longest_matches(rows: DataFrame, key: str, words: str, phrases: DataFrame, longest: int, bound: int = 200_000) -> DataFrame:
-    """Phrases in a line, longest first at each place, left to right, never overlapping.
+def longest_matches(rows: DataFrame, key: str, words: str, phrases: DataFrame, longest: int, bound: int = 200_000, follow: str | None = None) -> DataFrame:
+    """Phrases in a line, longest first at each place, left to right, never overlapping; see ``word_runs`` for ``follow``.
 
     ``phrases`` is ``(gram)``, broadcast only if a count proves it small. Candidates come from a join; overlaps are resolved by one pass over each line's candidates.
     """
 
     def of_size(n: int) -> Column:
-        return F.transform(word_runs(F.col(words), n), lambda g, i: F.struct((i + 1).alias("start"), F.lit(n).alias("n"), g.alias("gram")))
+        return F.transform(word_runs(F.col(words), n, F.col(follow) if follow else None), lambda g, i: F.struct((i + 1).alias("start"), F.lit(n).alias("n"), g.alias("gram")))
 
     phrases = checkpointed(phrases)  # counted and joined, made once
     grams = F.flatten(F.array(*[of_size(n) for n in range(2, longest + 1)]))

@@ -48,12 +48,18 @@ def decision_cascade(spark, d):
     return D.cascade(s, steps, "reading").select("id", "reading", "reason")
 
 
-@query("word_offsets", f"""SELECT id, w AS word, CAST(coalesce(list_sum(list_transform(l[1:i - 1], lambda x: length(x) + 1)), 0) AS INTEGER) AS "begin", CAST(coalesce(list_sum(list_transform(l[1:i - 1], lambda x: length(x) + 1)), 0) + length(w) AS INTEGER) AS "end"
-    FROM (SELECT id, l, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT DISTINCT id, {duck_words('sentence_yi')} AS l FROM stress_tts))""")
+_SPANS = "list_filter(regexp_split_to_array(sentence_yi, '[ \\t\\n\\r]'), lambda x: true)"
+
+
+@query(
+    "word_offsets",
+    f"""SELECT id, w AS word, CAST(b AS INTEGER) AS "begin", CAST(b + length(w) AS INTEGER) AS "end" FROM (SELECT id, l[i] AS w, coalesce(list_sum(list_transform(l[1:i - 1], lambda x: length(x) + 1)), 0) AS b
+    FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT DISTINCT id, {_SPANS} AS l FROM stress_tts WHERE sentence_yi IS NOT NULL))) WHERE w <> ''""",
+)
 def word_offsets(spark, d):
-    """Words of each sentence with their places in the squeezed text."""
-    s = table(spark, d, "stress_tts").select("id", T.words(F.col("sentence_yi")).alias("l")).distinct()
-    return s.select("id", F.explode(D.offsets(F.col("l"))).alias("x")).select("id", "x.*")
+    """Words of each sentence with their places in the text as it is."""
+    s = table(spark, d, "stress_tts").where("sentence_yi IS NOT NULL").select("id", "sentence_yi").distinct()
+    return s.select("id", F.explode(T.word_spans("sentence_yi")).alias("x")).select("id", "x.*")
 
 
 @query("aligned_tokens", """SELECT a AS word, b AS reading, count(*) AS n FROM (SELECT unnest(p) AS a, unnest(i) AS b FROM (SELECT string_split(pointed_yi, ' ') AS p, string_split(ipa, ' ') AS i FROM (SELECT DISTINCT id, pointed_yi, ipa FROM stress_tts)) WHERE len(p) = len(i)) GROUP BY a, b""")

@@ -30,9 +30,9 @@ def _tiers(spark, d):
 )
 def authority_lookup(spark, d):
     """Each corpus type with the reading of the first tier that has its key. Keys are made once per type."""
-    from warpweft.plans.text_queries import token_type_freq
+    from warpweft.plans.text_queries import corpus_types
 
-    types = token_type_freq(spark, d).withColumn("key", T.lookup_key(F.col("type")))
+    types = corpus_types(spark, d).withColumn("key", T.lookup_key(F.col("type")))
     return evidence.first_hit(types, _tiers(spark, d), "key", "tier", "ipa").select("type", "freq", "key", "ipa", "tier")
 
 

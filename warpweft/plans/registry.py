@@ -7,12 +7,25 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
-#: Tokens of a text in DuckDB: a list of lower-cased cores.
-DUCK_EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}\p{M}]+$"
+#: Signs at the edges of a token in DuckDB, apostrophes kept.
+DUCK_EDGE = r"^[^\p{L}\p{N}''׳ʼ‘’`]+|[^\p{L}\p{N}\p{M}''׳ʼ‘’`]+$"
+
+
+def duck_core(token: str) -> str:
+    return f"CASE WHEN regexp_matches({token}, '[\\p{{L}}\\p{{N}}]') THEN regexp_replace({token}, '{DUCK_EDGE}', '', 'g') ELSE '' END"
+
+
+def duck_tokens(column: str) -> str:
+    return f"list_filter(regexp_split_to_array(coalesce({column}, ''), '[ \\t\\n\\r]+'), lambda t: t <> '')"
 
 
 def duck_words(column: str) -> str:
-    return f"list_filter(list_transform(regexp_split_to_array(coalesce({column}, ''), '[ \\t\\n\\r]+'), lambda t: lower(regexp_replace(t, '{DUCK_EDGE}', '', 'g'))), lambda w: w <> '')"
+    return f"list_filter(list_transform({duck_tokens(column)}, lambda t: lower({duck_core('t')})), lambda w: w <> '')"
+
+
+def duck_words_or_null(column: str) -> str:
+    """Words with null for a token without one."""
+    return f"list_transform({duck_tokens(column)}, lambda t: nullif(lower({duck_core('t')}), ''))"
 
 
 def duck_bare(column: str) -> str:

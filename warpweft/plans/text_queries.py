@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 from warpweft.functions import phones as P
 from warpweft.functions import text as T
 from warpweft.operators import evidence, rewrite, scoring, sequences
-from warpweft.plans.registry import duck_bare, duck_key, duck_signs, duck_words, query
+from warpweft.plans.registry import ORACLES, duck_bare, duck_core, duck_key, duck_signs, duck_tokens, duck_words, duck_words_or_null, query
 from warpweft.sources.tables import spread, table
 
 
+def corpus_types(spark, d):
+    """Word types of the corpus with their frequency, in no order: what other queries join."""
+    each = spread(table(spark, d, "documents").select("text")).select(F.explode(T.words(F.col("text"))).alias("type"))
+    return each.groupBy("type").agg(F.count("*").alias("freq"))
+
+
 @query("token_type_freq", f"SELECT w AS type, count(*) AS freq FROM (SELECT unnest({duck_words('text')}) AS w FROM documents) GROUP BY w ORDER BY freq DESC, type")
 def token_type_freq(spark, d):
     """Word types of the corpus by frequency."""
-    each = spread(table(spark, d, "documents").select("text")).select(F.explode(T.words(F.col("text"))).alias("type"))
-    return each.groupBy("type").agg(F.count("*").alias("freq")).orderBy(F.desc("freq"), "type")
+    return corpus_types(spark, d).orderBy(F.desc("freq"), "type")
 
 
 @query("lookup_key", f"SELECT rank, word, {duck_signs('word')} AS surface, {duck_key('word')} AS key FROM g2p_gold_v3")
@@ -25,12 +30,13 @@ def lookup_key(spark, d):
     return g.select("rank", "word", T.normal_surface(F.col("word")).alias("surface"), T.lookup_key(F.col("word")).alias("key"))
 
 
+_LEAD, _TRAIL = r"^([^\p{L}\p{N}''׳ʼ‘’`]*)", r"([^\p{L}\p{N}\p{M}''׳ʼ‘’`]*)$"
+
+
 @query(
     "edge_split",
-    r"""SELECT ann_id, pos, regexp_extract(t, '^([^\p{L}\p{N}]*)', 1) AS lead, regexp_replace(t, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}\p{M}]+$', '', 'g') AS core,
-    CASE WHEN regexp_matches(t, '[\p{L}\p{N}]') THEN regexp_extract(t, '([^\p{L}\p{N}\p{M}]*)$', 1) ELSE '' END AS trail
-    FROM (SELECT ann_id, unnest(l) AS t, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos FROM
-      (SELECT ann_id, list_filter(regexp_split_to_array(coalesce(text_yi, ''), '[ \t\n\r]+'), lambda x: x <> '') AS l FROM annotations_gold))""",
+    rf"""SELECT ann_id, pos, CASE WHEN s THEN t ELSE regexp_extract(t, '{_LEAD}', 1) END AS lead, {duck_core('t')} AS core, CASE WHEN s THEN '' ELSE regexp_extract(t, '{_TRAIL}', 1) END AS trail
+    FROM (SELECT ann_id, t, pos, NOT regexp_matches(t, '[\p{{L}}\p{{N}}]') AS s FROM (SELECT ann_id, unnest(l) AS t, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos FROM (SELECT ann_id, {duck_tokens('text_yi')} AS l FROM annotations_gold)))""",
 )
 def edge_split(spark, d):
     """Leading signs, core and trailing signs of each token of the gold chunks."""
@@ -132,8 +138,7 @@ def modal_dominance(spark, d):
 def coverage_buckets(spark, d):
     """Corpus types and tokens by how well the pointed chunks cover them."""
     m = evidence.modal(_pointed_counts(spark, d), "bare", "form").select(F.col("bare").alias("type"), "bucket")
-    types = token_type_freq(spark, d)
-    return types.join(m, "type", "left").groupBy(F.coalesce("bucket", F.lit("miss")).alias("bucket")).agg(F.count("*").alias("n_types"), F.sum("freq").alias("n_tokens"))
+    return corpus_types(spark, d).join(m, "type", "left").groupBy(F.coalesce("bucket", F.lit("miss")).alias("bucket")).agg(F.count("*").alias("n_types"), F.sum("freq").alias("n_tokens"))
 
 
 @query("char_histogram", "SELECT c, count(*) AS n FROM (SELECT unnest(string_split(coalesce(sentence_yi, ''), '')) AS c FROM stress_tts) WHERE c <> '' GROUP BY c")
@@ -208,16 +213,54 @@ def mark_zip(spark, d):
     return table(spark, d, "yiexample").select("row_id", T.join_marks(F.col("text"), F.col("marks")).alias("pointed"))
 
 
-@query("sentence_rows", None)
+_ENDS = r"list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(regexp_replace(s, '[ \t\n\r]+', ' ', 'g'))), lambda s: s <> '')"
+_PIECES = r"list_transform(regexp_extract_all(s, '((?:[^ ]+ ){7,24}?[^ ]*,(?: |$)|(?:[^ ]+ ){24}[^ ]+(?: |$)|[^ ].*)', 1), lambda p: trim(p))"
+
+
+@query(
+    "sentence_rows",
+    f"""SELECT doc_id, id, text FROM (SELECT doc_id, doc_id || '.' || (generate_subscripts(l, 1) - 1) AS id, unnest(l) AS text FROM
+    (SELECT doc_id, flatten(list_transform({_ENDS}, lambda s: CASE WHEN len(string_split(s, ' ')) <= 25 THEN [s] ELSE {_PIECES} END)) AS l FROM documents)) WHERE regexp_matches(text, '[א-ת]')""",
+)
 def sentence_rows(spark, d):
-    """Sentences of the corpus, numbered within their document."""
-    return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent", "text"))
+    """Sentences of the corpus that have a Hebrew letter, cut at commas or at 25 words, numbered within their document before the others are left out."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    each = docs.select("doc_id", F.posexplode(T.cut_sentences(F.col("text"))).alias("sent", "text"))
+    return each.where(F.col("text").rlike("[א-ת]")).select("doc_id", F.concat_ws(".", "doc_id", "sent").alias("id"), "text")
+
 
+_CHUNKS = r"regexp_extract_all(coalesce(text, ''), '(?s)(.{1,400}$|.{0,399}[ \t\n\x0B\f\r]|[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]*)', 1)"
 
-@query("budget_chunks", None)
+
+@query("budget_chunks", f"SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS chunk, unnest(l) AS text FROM (SELECT doc_id, {_CHUNKS} AS l FROM documents)")
 def budget_chunks(spark, d):
-    """Documents cut between words into chunks of at most 400 characters."""
-    return table(spark, d, "documents").select("doc_id", F.posexplode(T.budget_chunks(T.tokens(F.col("text")), 400)).alias("chunk", "text"))
+    """Documents cut after blanks into pieces of at most 400 characters that give the document when put together."""
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(T.budget_chunks(F.col("text"), 400)).alias("chunk", "text"))
+
+
+@query(
+    "chunk_rejoin",
+    "SELECT count(*) AS n_docs, count(*) FILTER (text IS NULL OR text = '') AS n_empty, 0 AS n_broken, 0 AS n_over FROM documents",
+)
+def chunk_rejoin(spark, d):
+    """Documents whose pieces don't give them when put together, or that have a piece over its limit: none."""
+    docs = spread(table(spark, d, "documents").select("text")).withColumn("p", T.budget_chunks(F.col("text"), 200, cut_words=True))
+    broken, over = F.array_join("p", "") != F.coalesce("text", F.lit("")), F.exists("p", lambda x: F.length(x) > 200)
+    return docs.agg(F.count("*").alias("n_docs"), F.count_if(F.size("p") == 0).alias("n_empty"), F.count_if(broken).cast("int").alias("n_broken"), F.count_if(over).cast("int").alias("n_over"))
+
+
+@query(
+    "marked_chunks",
+    r"""SELECT row_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS chunk, unnest(l) AS text, CAST(NULL AS INTEGER) AS n_marks FROM (SELECT row_id, regexp_extract_all(text, '(?s)(.{1,60}$|.{0,59}[ 	
+
+]|.{1,60})', 1) AS l FROM yiexample WHERE length(text) = len(marks))""".replace(
+        "CAST(NULL AS INTEGER) AS n_marks FROM (SELECT row_id,", "CAST(unnest(list_transform(l, lambda x, i: len(list_filter(marks[CAST(coalesce(list_sum(list_transform(l[1:i - 1], lambda y: length(y))), 0) AS BIGINT) + 1:CAST(list_sum(list_transform(l[1:i], lambda y: length(y))) AS BIGINT)], lambda m: m <> '')))) AS INTEGER) AS n_marks FROM (SELECT row_id, marks,"
+    ),
+)
+def marked_chunks(spark, d):
+    """Rows of letters and marks cut into pieces of at most 60 letters, with how many letters of each bear a mark."""
+    y = table(spark, d, "yiexample").select("row_id", F.posexplode(T.marked_chunks(F.col("text"), F.col("marks"), 60)).alias("chunk", "p"))
+    return y.select("row_id", "chunk", F.col("p.text").alias("text"), F.size(F.filter("p.marks", lambda m: m != "")).alias("n_marks"))
 
 
 @query("letter_units", "SELECT rank, CAST(len(regexp_extract_all(word, '\\P{M}\\p{M}*')) AS INTEGER) AS n_letters FROM (SELECT rank, nfc_normalize(word) AS word FROM g2p_gold_v3 WHERE word IS NOT NULL) WHERE NOT regexp_matches(word, '^\\p{M}')")
@@ -274,16 +317,31 @@ def oov_split(spark, d):
 
 @query(
     "ngram_mine",
-    f"""WITH l AS (SELECT {duck_words('text')} AS w FROM documents), g AS (
+    f"""WITH l AS (SELECT {duck_words_or_null('text')} AS w FROM documents), g AS (
     SELECT 2 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM l UNION ALL SELECT 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM l)
-    SELECT CAST(n AS INTEGER) AS n, gram, count(*) AS count FROM g GROUP BY ALL HAVING count(*) >= 15""",
+    SELECT CAST(n AS INTEGER) AS n, gram, count(*) AS count FROM g WHERE gram IS NOT NULL GROUP BY ALL HAVING count(*) >= 15""",
 )
 def ngram_mine(spark, d):
-    """Frequent pairs and triples of neighbouring words."""
-    rows = spread(table(spark, d, "documents").select("text")).select(T.words(F.col("text")).alias("w"))
+    """Frequent pairs and triples of neighbouring words; a token without a word parts its neighbours."""
+    rows = spread(table(spark, d, "documents").select("text")).select(T.words_or_null(F.col("text")).alias("w"))
     return sequences.mine_ngrams(rows, "w", (2, 3), 15)
 
 
+_BRIDGED = f"""WITH l AS (SELECT {duck_words_or_null('text')} AS w, {duck_words('text')} AS v FROM documents)
+    SELECT count(*) FILTER (a.gram IS NULL) AS n_bridges, count(*) AS n_pairs FROM (SELECT DISTINCT unnest(list_transform(range(1, len(v)), lambda i: v[i] || ' ' || v[i + 1])) AS gram FROM l) b
+    LEFT JOIN (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM l) a USING (gram)"""
+
+
+@query("ngram_bridges", _BRIDGED)
+def ngram_bridges(spark, d):
+    """Pairs of words that would only be neighbours if tokens without a word were left out: how many, of how many pairs."""
+    docs = spread(table(spark, d, "documents").select("text"))
+    pairs = lambda w: docs.select(F.explode(sequences.ngrams(w, 2)).alias("gram")).distinct()
+    with_gaps = pairs(T.words_or_null(F.col("text"))).withColumn("real", F.lit(True))
+    both = pairs(T.words(F.col("text"))).join(with_gaps, "gram", "left")
+    return both.agg(F.count_if(F.col("real").isNull()).alias("n_bridges"), F.count("*").alias("n_pairs"))
+
+
 @query(
     "ngram_index",
     f"""WITH l AS (SELECT {duck_words('text')} AS f, list_transform({duck_words('text')}, lambda x: {duck_key('x')}) AS k FROM held_out_items), g AS (
@@ -308,11 +366,23 @@ def ngram_index(spark, d):
     return cells.groupBy("n", "key").agg(F.sum("cnt").alias("total"), F.array_join(forms, "|").alias("forms"))
 
 
-@query("phrase_match", None)
+_LINES = f"""(SELECT ann_id, list_transform(t, lambda x: nullif(lower({duck_core('x')}), '')) AS w,
+    list_transform(t, lambda x, i: CASE WHEN i = 1 OR (NOT regexp_matches(t[i - 1], '[^\\p{{L}}\\p{{N}}\\p{{M}}''׳ʼ‘’`]$') AND NOT regexp_matches(x, '^[^\\p{{L}}\\p{{N}}''׳ʼ‘’`]')) THEN nullif(lower({duck_core('x')}), '') END) AS f
+    FROM (SELECT ann_id, {duck_tokens('text_yi')} AS t FROM annotations_gold))"""
+
+
+@query(
+    "phrase_match",
+    f"""WITH RECURSIVE phrases AS (SELECT gram FROM ({ORACLES['ngram_mine']})), l AS {_LINES}, c AS (
+    SELECT ann_id, i AS start, 2 AS n, w[i] || ' ' || f[i + 1] AS gram FROM (SELECT ann_id, w, f, unnest(range(1, len(w))) AS i FROM l) UNION ALL SELECT ann_id, i, 3, w[i] || ' ' || f[i + 1] || ' ' || f[i + 2] FROM (SELECT ann_id, w, f, unnest(range(1, len(w) - 1)) AS i FROM l)),
+    m AS (SELECT ann_id, start, max(n) AS n, arg_max(gram, n) AS gram FROM c WHERE gram IN (SELECT gram FROM phrases) GROUP BY ann_id, start),
+    walk AS (SELECT ann_id, 1 AS p FROM l UNION ALL SELECT walk.ann_id, p + coalesce(m.n, 1) FROM walk JOIN l ON l.ann_id = walk.ann_id AND p <= len(w) LEFT JOIN m ON m.ann_id = walk.ann_id AND m.start = p)
+    SELECT m.ann_id, CAST(m.start AS INTEGER) AS start, CAST(m.n AS INTEGER) AS n, m.gram FROM walk JOIN m ON m.ann_id = walk.ann_id AND m.start = walk.p""",
+)
 def phrase_match(spark, d):
-    """Mined phrases in the gold chunks: longest first, left to right, never overlapping."""
-    rows = table(spark, d, "annotations_gold").select("ann_id", T.words(F.col("text_yi")).alias("w"))
-    return sequences.longest_matches(rows, "ann_id", "w", ngram_mine(spark, d).select("gram"), 3)
+    """Mined phrases in the gold chunks: longest first, left to right, never overlapping, never across a sign."""
+    rows = table(spark, d, "annotations_gold").select("ann_id", T.words_or_null(F.col("text_yi")).alias("w"), T.following_words(F.col("text_yi")).alias("f"))
+    return sequences.longest_matches(rows, "ann_id", "w", ngram_mine(spark, d).select("gram"), 3, follow="f")
 
 
 _CTX = f"""(SELECT ann_id, w, generate_subscripts(w, 1) AS p, unnest(w) AS word FROM (SELECT ann_id, {duck_words('text_yi')} AS w FROM annotations_gold))"""
@@ -355,7 +425,14 @@ def suffix_join(spark, d):
     return rewrite.affix_join(v, v, affixes, "word", "word", prefix=False)
 
 
-@query("drift_fingerprint", None)
+_ROW = "md5(concat_ws(chr(31), " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(1))" for c in ("rank", "word", "freq", "layer", "gold_ipa", "gold", "source", "native_hint", "review_note")) + "))"
+
+
+@query(
+    "drift_fingerprint",
+    f"SELECT count(*) AS n_rows, bit_xor(CAST('0x' || substring(h, 1, 15) AS BIGINT)) AS fingerprint, CAST(sum(CAST('0x' || substring(h, 1, 4) AS BIGINT)) AS BIGINT) AS checksum FROM (SELECT {_ROW} AS h FROM g2p_gold_v3)",
+)
 def drift_fingerprint(spark, d):
-    """Row count and checksum of the entry table, to notice a change."""
-    return scoring.fingerprint(table(spark, d, "g2p_gold_v3"), ["rank", "word", "freq", "layer", "gold_ipa"])
+    """Row count and checksums of the entry table, all its columns, to notice a change."""
+    g = table(spark, d, "g2p_gold_v3")
+    return scoring.fingerprint(g, g.columns)
