@@ -1,3 +1,5 @@
+import math
+import random
 from math import comb
 
 import pytest
@@ -11,9 +13,9 @@ def rows(df, *by):
     return sorted(tuple(r) for r in df.select(*by).collect())
 
 
-@pytest.mark.parametrize("k,n,p", [(0, 5, 0.3), (3, 10, 0.2), (10, 10, 0.5), (1, 400, 0.001), (390, 400, 0.9), (6, 5, 0.5), (2, 5, 0.0), (2, 5, 1.0)])
+@pytest.mark.parametrize("k,n,p", [(0, 5, 0.3), (3, 10, 0.2), (10, 10, 0.5), (1, 400, 0.001), (390, 400, 0.9), (6, 5, 0.5), (2, 5, 0.0), (2, 5, 1.0), (5, 400, 0.05), (3000, 100000, 0.03), (2900, 100000, 0.03)])
 def test_binomial_tail(spark, k, n, p):
-    want = 0.0 if k > n else sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+    want = 0.0 if k > n else math.fsum(math.exp(math.log(comb(n, i)) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(k, min(n, k + 2000) + 1)) if 0 < p < 1 else float(p)
     got = spark.createDataFrame([(k, n, p)], "k long, n long, p double").select(stats.binomial_tail(F.col("k"), F.col("n"), F.col("p"))).first()[0]
     assert got == pytest.approx(want, abs=1e-9)
 
@@ -73,13 +75,61 @@ def test_ngrams_stop_at_nulls(spark):
     assert [r[0] for r in df.select(sequences.ngrams(F.col("w"), 2)).collect()] == [["b c"], [], []]
 
 
-def test_alignment(spark):
-    score, path = align.align_pair(list("kat"), list("kot"), frozenset("ao"))
-    assert score == 4.5 and path == [(0, 0), (1, 1), (2, 2)]
-    assert align.align_pair([], ["x"], frozenset()) == (-1.0, [(None, 0)])
+def slow_alignment(a, b, vowels):
+    """Cell by cell, with the same preferences."""
+
+    def alike(x, y):
+        return 2.0 if x == y else -1.5 if (x in vowels) != (y in vowels) else 0.5 if x in vowels else 0.0
+
+    best = {(0, 0): (0.0, [])}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            ways = []
+            if i and j:
+                ways.append((best[i - 1, j - 1][0] + alike(a[i - 1], b[j - 1]), best[i - 1, j - 1][1] + [(i - 1, j - 1)]))
+            if i:
+                ways.append((best[i - 1, j][0] - 1, best[i - 1, j][1] + [(i - 1, -1)]))
+            if j:
+                ways.append((best[i, j - 1][0] - 1, best[i, j - 1][1] + [(-1, j - 1)]))
+            if ways:
+                best[i, j] = max(ways, key=lambda w: w[0])
+    return best[len(a), len(b)]
+
+
+def test_alignment_equals_cell_by_cell():
+    rng = random.Random(3)
+    pairs = [("".join(rng.choice("aokptm") for _ in range(rng.randrange(9))), "".join(rng.choice("aokptm") for _ in range(rng.randrange(9)))) for _ in range(400)]
+    score, paths = align.align_many([(list(a), list(b)) for a, b in pairs], frozenset("ao"))
+    for (a, b), s, (left, right) in zip(pairs, score, paths):
+        want, path = slow_alignment(a, b, "ao")
+        assert s == want and list(zip(left.tolist(), right.tolist())) == path, (a, b)
+
+
+def test_alignment_of_rows(spark):
     df = spark.createDataFrame([(1, list("kat"), list("at")), (2, list("kat"), list("at")), (3, None, ["a"])], "id int, x array<string>, y array<string>")
     done = align.align_distinct(df, "x", "y", ["a"])
     assert done.count() == 3 and rows(align.heard_at(done.where("id < 3"), ["id"], "x", "y").where("id = 1"), "slot", "expected", F.coalesce("heard", F.lit("-")).alias("h")) == [(0, "k", "-"), (1, "a", "a"), (2, "t", "t")]
+    assert rows(done.where("id = 1").select(align.fraction_matched(F.col("path"), F.col("x"), F.col("y")).alias("f")), F.round("f", 3)) == [(0.667,)]
+
+
+def test_words_own_what_they_got(spark):
+    df = spark.createDataFrame([(1, [list("kat"), list("um"), []], list("katxxum")), (2, [list("po")], [])], "id int, w array<array<string>>, h array<string>")
+    own = align.word_ownership(df, ["id"], "w", "h", ["a", "u", "o"])
+    got = {(r["id"], r["word"]): ("".join(r["heard_word"]), r["n_match"], r["first_heard"], r["last_heard"]) for r in own.collect()}
+    assert got == {(1, 0): ("kat", 3, 0, 2), (1, 1): ("um", 2, 5, 6), (1, 2): ("", 0, None, None), (2, 0): ("", 0, None, None)}
+    cut = spark.createDataFrame([(list("abcdefg"), 3, 3), (list("abcdefg"), 0, 6), (list("abc"), None, None)], "h array<string>, a int, b int")
+    assert ["".join(r[0]) if r[0] else None for r in cut.select(align.window(F.col("h"), F.col("a"), F.col("b"))).collect()] == ["bcdef", "abcdefg", None]
+
+
+def test_choice_in_windows_on_its_threshold(spark):
+    hits = spark.createDataFrame([(1, "w", list("kat")), (2, "w", list("xyz")), (3, "v", list("ka"))], "occ int, word string, win array<string>")
+    cands = spark.createDataFrame([("w", "kat", list("kat")), ("w", "kot", list("kot")), ("v", "ka", list("ka"))], "word string, reading string, phones array<string>")
+    got = {r["occ"]: (r["winner"], r["decision"], r["margin"]) for r in align.choose_in_windows(hits, ["occ"], "word", "win", cands, ["a", "o"]).collect()}
+    assert got[1] == ("kat", "decided", 0.25) and got[2][:2] == (None, "undecided") and got[3] == ("ka", "decided", 2.0)
+    m = spark.createDataFrame([([0.5, 0.4],), ([1.0],), ([-0.2, -0.9],), ([0.3, 0.3],)], "s array<double>")
+    assert [round(r[0], 6) for r in m.select(align.margin(F.col("s"))).collect()] == [0.05, 2.0, 0.0, 0.0]
+    f = spark.createDataFrame([("z", "s"), ("s", "z"), ("z", "t"), ("z", None), ("a", "a")], "a string, b string")
+    assert [r[0] for r in f.select(align.forgiven(F.col("a"), F.col("b"), [("z", "s")])).collect()] == [True, True, False, False, True]
 
 
 def test_rules_take_the_first_that_fits(spark):

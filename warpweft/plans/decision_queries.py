@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from warpweft.functions import phones as P
 from warpweft.functions import text as T
 from warpweft.operators import decisions as D
 from warpweft.plans.registry import duck_words, query
@@ -69,13 +68,6 @@ def aligned_tokens(spark, d):
     return s.select(F.explode(D.zip_equal(F.split("pointed_yi", " "), F.split("ipa", " "))).alias("z")).groupBy(F.col("z.a").alias("word"), F.col("z.b").alias("reading")).agg(F.count("*").alias("n"))
 
 
-@query("slot_substitution", "SELECT id, array_to_string(list_transform(l, lambda x, i: CASE WHEN i = 1 THEN '<' ELSE x END), ' ') AS changed FROM (SELECT DISTINCT id, string_split(ipa, ' ') AS l FROM stress_tts WHERE ipa IS NOT NULL)")
-def slot_substitution(spark, d):
-    """Readings with the first word replaced, as slots of a reading are by corrections."""
-    s = table(spark, d, "stress_tts").where("ipa IS NOT NULL").select("id", F.split("ipa", " ").alias("l")).distinct()
-    return s.select("id", F.array_join(D.substitute_slots(F.col("l"), F.create_map(F.lit(0), F.lit("<"))), " ").alias("changed"))
-
-
 @query("inverted_index", f"SELECT word, episode, count(*) AS n FROM (SELECT episode, unnest({duck_words('text_yi')}) AS word FROM annotations_gold WHERE episode IS NOT NULL) GROUP BY word, episode")
 def inverted_index(spark, d):
     """Episodes in which each word of the gold chunks occurs."""
@@ -113,15 +105,6 @@ def agreement_histogram(spark, d):
     return per.groupBy(F.floor(F.col("share") * 10).cast("int").alias("bucket")).agg(F.count("*").alias("n_items"), F.sum("votes").alias("n_votes"))
 
 
-@query("best_variant_votes", """SELECT rank, ipa AS reading, n_syl FROM (SELECT rank, ipa, n_syl, row_number() OVER (PARTITION BY rank ORDER BY n_syl DESC, ipa) AS r, count(*) OVER (PARTITION BY rank, n_syl) AS same FROM (SELECT DISTINCT rank, reading AS ipa, CAST(len(regexp_extract_all(reading, 'aː|ej|aj|ɔj|oʊ|[aɛəiuɔ]')) AS INTEGER) AS n_syl FROM
-    (SELECT rank, unnest(list_filter(list_transform(string_split(regexp_replace(gold_ipa, '\\[[^\\]]*\\]', '', 'g'), '|'), lambda x: trim(x)), lambda x: x <> '')) AS reading FROM g2p_gold_v3 WHERE gold_ipa IS NOT NULL))) WHERE r = 1 AND same = 1 AND n_syl > 0""")
-def best_variant_votes(spark, d):
-    """The reading of each entry with most nuclei, if no other has as many: a vote counts only for a single best above nothing."""
-    v = table(spark, d, "g2p_gold_v3").select("rank", F.explode(P.variants(F.col("gold_ipa"))).alias("reading")).withColumn("n_syl", F.regexp_count("reading", F.lit(f"({P.VOWEL})")))
-    top = v.groupBy("rank", "n_syl").agg(F.count("*").alias("same"), F.min("reading").alias("reading")).groupBy("rank").agg(F.max_by(F.struct("reading", "same", "n_syl"), "n_syl").alias("b"))
-    return top.where("b.same = 1 AND b.n_syl > 0").select("rank", "b.reading", "b.n_syl")
-
-
 @query("per_group_cap", "SELECT episode, ann_id, CAST(pick AS INTEGER) AS pick FROM (SELECT episode, ann_id, row_number() OVER (PARTITION BY episode ORDER BY chunk_idx, ann_id) AS pick FROM annotations_gold WHERE episode IS NOT NULL) WHERE pick <= 2")
 def per_group_cap(spark, d):
     """At most two chunks of each episode, the first by number."""
