@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from warpweft.plans import decision_queries, evidence_queries, phonology_queries, text_queries, verdict_queries  # noqa: F401
+from warpweft.plans import decision_queries, evidence_queries, phonology_queries, reading_queries, text_queries, verdict_queries  # noqa: F401
 from warpweft.plans.registry import ORACLES, QUERIES
 
 

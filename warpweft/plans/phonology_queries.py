@@ -56,19 +56,6 @@ def first_stress(spark, d):
     return s.union(s.select(F.replace("ipa", F.lit(P.STRESS), F.lit("")))).distinct().select("ipa", G.ensure_stress(F.col("ipa")).alias("marked"))
 
 
-@query("penult_stress", None)
-def penult_stress(spark, d):
-    """Bare words of the readings with stress on the last vowel but one."""
-    words = _readings(spark, d).select(F.explode(F.split(F.replace("ipa", F.lit(P.STRESS), F.lit("")), " ")).alias("word")).distinct()
-    return words.select("word", G.penult_stress(F.col("word")).alias("marked"))
-
-
-@query("respelling", None)
-def respelling(spark, d):
-    """Readings in Latin letters, stressed vowels in capitals."""
-    return _readings(spark, d).select("ipa", G.respell(F.col("ipa")).alias("latin"))
-
-
 @query("mark_repair", None)
 def mark_repair(spark, d):
     """Pointed words whose marks had to be put in order, and how often each occurs."""
