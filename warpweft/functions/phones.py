@@ -68,3 +68,16 @@ def variants(cell: Column) -> Column:
     """Readings of a cell ``primary | variant [note]`` in order, notes dropped, each once."""
     parts = F.transform(F.split(F.regexp_replace(F.coalesce(cell, F.lit("")), r"\[[^\]]*\]", ""), r"\|"), strip)
     return F.array_distinct(F.filter(parts, lambda p: p != ""))
+
+
+def transcript_pieces(ipa: Column, bar: str, special: list[str]) -> Column:
+    """Pieces of a transcript between bars, without blanks at their ends, empty and special ones left out."""
+    pieces = F.transform(F.split(ipa, bar), strip)
+    return F.filter(pieces, lambda p: (p != "") & ~p.isin(special))
+
+
+def fold_symbols(ipa: Column, sequences: list[tuple[str, str]], singles: dict[str, str]) -> Column:
+    """Phones of the inventory in a foreign notation: sequences are replaced first, the longest first, then single characters by a map; what is left outside is dropped."""
+    for a, b in sorted(sequences, key=lambda s: -len(s[0])):
+        ipa = F.replace(ipa, F.lit(a), F.lit(b))
+    return phones(F.translate(ipa, "".join(singles), "".join(singles.values())))

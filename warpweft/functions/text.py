@@ -151,7 +151,7 @@ def edition_fold(word: Column, hard: str = "\u05d1\u05db\u05e4\u05ea") -> Column
     w = F.translate(composed(word), "\u05c7", "\u05b8")
     first = F.regexp_replace(w, rf"^(\P{{M}}[{MARKS}&&[^\u05bc]]*)\u05bc", "$1")
     soft = F.regexp_replace(first, rf"([\P{{M}}&&[^{hard}]][{MARKS}&&[^\u05bc]]*)\u05bc", "$1")
-    return composed(F.regexp_replace(soft, rf"(\u05d5[{MARKS}&&[^\u05b9\u05ba]]*)[\u05b9\u05ba]", "$1"))
+    return F.regexp_replace(soft, rf"(\u05d5[{MARKS}&&[^\u05b9\u05ba]]*)[\u05b9\u05ba]", "$1")
 
 
 def book_tokens(text: Column) -> Column:

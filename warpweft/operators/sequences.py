@@ -135,3 +135,11 @@ def group_split(rows: DataFrame, group: str, cuts: list[tuple[str, int]], seed:
     for name, below in cuts[:-1]:
         split = split.when(at < below, name)
     return rows.withColumn("split_name", split.otherwise(cuts[-1][0]))
+
+
+def member_ngrams(rows: DataFrame, key: str, words: str, members: DataFrame, member: str, sizes: tuple[int, ...]) -> DataFrame:
+    """``(n, gram, count)`` of n-grams whose words are all in a set: words are joined with the set once, others become null, which no n-gram holds."""
+    each = rows.select(key, F.posexplode(words).alias("_p", "_w"))
+    known = members.select(F.col(member).alias("_w"), F.lit(True).alias("_k")).distinct()
+    line = each.join(known, "_w", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", F.when(F.col("_k"), F.col("_w")).alias("w")))).alias("_l"))
+    return mine_ngrams(line.select(F.transform("_l", lambda x: x["w"]).alias("w")), "w", sizes, 1)

@@ -293,13 +293,6 @@ def stress_index(spark, d):
     return each.select("id", "pos", "word", P.stressed_nucleus(F.col("word")).alias("nucleus")).where("nucleus IS NOT NULL")
 
 
-@query("json_strings", "SELECT event_type, count(*) AS n, count(DISTINCT json_extract_string(props, '$.page')) AS n_pages FROM events GROUP BY event_type")
-def json_strings(spark, d):
-    """Values inside JSON columns, by event type."""
-    e = table(spark, d, "events").select("event_type", F.get_json_object("props", "$.page").alias("page"))
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("page").alias("n_pages"))
-
-
 _VOCAB = f"(SELECT DISTINCT unnest({duck_words('text')}) AS w FROM yiexample WHERE split = 'train')"
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from warpweft.functions.text import clean_markup, json_strings
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a directory."""
@@ -88,3 +92,37 @@ def swap_table(df: DataFrame, path: str) -> None:
     files.rename(new, to)
     files.delete(old, True)
 
+
+
+def matched_replies(replies: DataFrame, column: str, fields: list[str], asked: DataFrame, key: str) -> DataFrame:
+    """Rows of tab-separated replies that answer what was asked, by ``key``; fences, other lines and unasked keys are left out. Of several answers the last line counts."""
+    lines = replies.select(F.posexplode(F.split(column, r"\r?\n")).alias("_n", "_line"), F.xxhash64(column).alias("_r"))
+    cells = F.split("_line", "\t")
+    rows = lines.where((F.size(cells) == len(fields)) & ~F.col("_line").startswith("```")).select("_r", "_n", *[F.trim(cells[k]).alias(f) for k, f in enumerate(fields)])
+    kept = rows.join(asked.select(key).distinct(), key, "left_semi")
+    rest = [f for f in fields if f != key]
+    return kept.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("_n", "_r")).alias("r")).select(key, *[F.col(f"r.{f}").alias(f) for f in rest])
+
+
+def flagged(rows: DataFrame, cell: str, flag: str) -> DataFrame:
+    """``rows`` with ``ambiguous`` and ``alt`` of a cell that may be a flag, in any case, and another value after a colon."""
+    set_ = F.upper(F.coalesce(F.col(cell), F.lit(""))).startswith(flag)
+    alt = F.when(set_ & F.contains(F.col(cell), F.lit(":")), F.trim(F.regexp_extract(cell, "(?s):(.*)$", 1)))
+    return rows.withColumn("ambiguous", set_).withColumn("alt", alt)
+
+
+def segments(rows: DataFrame, label: str, column: str) -> DataFrame:
+    """``(label, segment)``: every string at any depth of a JSON column, with the label of its row."""
+    return rows.select(label, F.explode(json_strings(F.col(column))).alias("segment"))
+
+
+def markup_records(pages: DataFrame, column: str, block: str, parts: dict[str, str]) -> DataFrame:
+    """``(id, parts...)``: records of blocks of markup that begin with ``block``, whose group is the id; each part is the first match inside the block, empty if there is none. Of blocks with one id the first on a page counts."""
+    records = pages.withColumn("_b", F.regexp_replace(column, f"({block})", "\u0001$1")).select(F.posexplode(F.split("_b", "\u0001")).alias("_n", "_p"), F.xxhash64(column).alias("_r")).where("_n > 0")
+    each = records.select("_r", "_n", F.regexp_extract("_p", block, 1).alias("id"), *[clean_markup(F.regexp_extract("_p", pattern, 1)).alias(name) for name, pattern in parts.items()])
+    return each.groupBy("_r", "id").agg(F.min_by(F.struct(*parts), "_n").alias("r")).select("id", *[F.col(f"r.{name}").alias(name) for name in parts])
+
+
+def self_validating(rows: DataFrame, key: str, value: str, strip: Callable[[Column], Column], excluded: DataFrame) -> DataFrame:
+    """Rows of a map whose value strips back to its key, without the excluded keys."""
+    return rows.where(strip(F.col(value)) == F.col(key)).join(excluded.select(key).distinct(), key, "left_anti")
