@@ -152,7 +152,41 @@ def test_scores_and_cover(spark):
     assert scoring.fingerprint(df, ["g", "bad"]).first() == scoring.fingerprint(df.orderBy("bad"), ["g", "bad"]).first()
     sets = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c", "c"]), (3, ["c"])], "k int, v array<string>")
     weights = spark.createDataFrame([("a", 1.0), ("b", 5.0), ("c", 2.0)], "value string, weight double")
-    assert rows(cover.greedy_cover(sets, "k", "v", weights, 9), "step", "k", "gain") == [(1, 2, 7.0), (2, 1, 1.0)]
+    for held in (1, 2, 9):
+        assert rows(cover.greedy_cover(sets, "k", "v", weights, 9, held=held), "step", "k", "gain") == [(1, 2, 7.0), (2, 1, 1.0)]
+
+
+def slow_cover(sets, weights, steps, need):
+    seen, left, out = {}, dict(sets), []
+    while len(out) < steps and left:
+        gain = {k: sum(weights[v] for v in vs if seen.get(v, 0) < need) for k, vs in left.items()}
+        k = min(left, key=lambda k: (-gain[k], k))
+        if gain[k] <= 0:
+            break
+        out.append((len(out) + 1, k, gain[k]))
+        for v in left.pop(k):
+            seen[v] = seen.get(v, 0) + 1
+    return out
+
+
+def test_cover_equals_step_by_step(spark):
+    rng = random.Random(7)
+    sets = {k: sorted(rng.sample("abcdefghijklmnop", rng.randrange(1, 6))) for k in range(40)}
+    weights = {v: float(rng.randrange(1, 9)) for v in "abcdefghijklmnop"}
+    df = spark.createDataFrame(list(sets.items()), "k int, v array<string>")
+    w = spark.createDataFrame(list(weights.items()), "value string, weight double")
+    for need, held in ((1, 3), (2, 5), (3, 64)):
+        assert rows(cover.greedy_cover(df, "k", "v", w, 15, need, held), "step", "k", "gain") == slow_cover(sets, weights, 15, need)
+    order = sorted(sets, key=lambda k: (-len(sets[k]), k))
+    seen, want = {}, []
+    for k in order:
+        gain = sum(1.0 for v in sets[k] if seen.get(v, 0) < 2)
+        if gain and len(want) < 12:
+            want.append((len(want) + 1, k, gain))
+            for v in sets[k]:
+                seen[v] = seen.get(v, 0) + 1
+    for held in (3, 100):
+        assert rows(cover.one_pass_cover(df, "k", "v", w.select("value"), 12, 2, held), "step", "k", "gain") == want
 
 
 def test_groups_first_and_latest(spark):

@@ -58,6 +58,17 @@ def one_char_each(ipa: Column, symbols: list[str] = VOWELS[:5]) -> Column:
     return t
 
 
+#: Symbols, the longest first, and the ASCII letters that stand for them where an edit distance counts bytes.
+ASCII_ORDER = [*VOWELS, *CONSONANTS]
+ASCII_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"[: len(ASCII_ORDER)]
+
+
+def ascii_phones(ipa: Column) -> Column:
+    """One ASCII letter for each phone of the inventory; everything else is dropped."""
+    pairs = F.create_map(*[F.lit(x) for kv in zip(ASCII_ORDER, ASCII_LETTERS) for x in kv])
+    return F.array_join(F.transform(phones(ipa), lambda p: F.element_at(pairs, p)), "")
+
+
 def stressed_nucleus(word: Column) -> Column:
     """Which vowel, counted from one, follows the first stress mark; null without a mark."""
     before = F.substring_index(word, STRESS, 1)

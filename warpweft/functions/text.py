@@ -17,7 +17,7 @@ DASHES, APOSTROPHES, QUOTES = "־‐‑‒–—", "׳ʼ‘’`", "״“”"
 # Names of HTML entities and their characters.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 BLANK = r"[ \t\n\r]+"
-_WORD = re.compile(r"\S+")
+_WORD = re.compile(r"[^ \t\n\r]+")
 # Signs of direction and of no width; accents that carry no vowel.
 NO_WIDTH = "\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2066\u2067\u2068\u2069\ufeff"
 CANTILLATION = "[\u0591-\u05af]"

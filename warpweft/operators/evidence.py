@@ -24,6 +24,13 @@ def consistency(counts: DataFrame, key: str, least: int = 1) -> DataFrame:
     )
 
 
+def modal_folded(counts: DataFrame, key: str, form: str, fold: str, marks: Column, dominance: float = 0.8) -> DataFrame:
+    """Per key the commonest folded form with its share, bucket and representative: of the printed forms that fold to it the most marked, of these the commonest, of these the least."""
+    folded = counts.groupBy(key, fold).agg(F.sum("n").alias("n"), F.min_by(form, F.struct(-marks, -F.col("n"), F.col(form))).alias("_form"))
+    shown = folded.select(key, fold, F.col("_form").alias("representative"))
+    return modal(folded.select(key, fold, "n"), key, fold, dominance).join(shown.withColumnRenamed(fold, "modal"), [key, "modal"])
+
+
 def modal(counts: DataFrame, key: str, form: str, dominance: float = 0.8) -> DataFrame:
     """Per key the commonest form (the least of equals), its share and a bucket: single, dominant or conflict."""
     per = counts.groupBy(key).agg(F.min_by(form, F.struct(-F.col("n"), F.col(form))).alias("modal"), F.max("n").alias("top"), F.sum("n").alias("n"), F.count("*").alias("forms"))
@@ -43,15 +50,20 @@ def first_hit(keys: DataFrame, tiers: DataFrame, key: str, rank: str, value: str
     return keys.join(F.broadcast(best) if small else best, key, "left").select(*[c for c in keys.columns], F.col(f"hit.{value}").alias(value), F.col(f"hit.{rank}").alias(rank))
 
 
-def shares(counts: DataFrame, of: list[str], within: list[str]) -> DataFrame:
-    """``n`` of each group and its share of the total of ``within``; totals are joined back, so no group is held in one task."""
+def shares(counts: DataFrame, of: list[str], within: list[str], least: int = 0, least_share: float = 0.0) -> DataFrame:
+    """``n`` of each group and its share of the total of ``within``, thin ones left out if wanted; totals are joined back, so no group is held in one task."""
     total = counts.groupBy(*within).agg(F.sum("n").alias("total"))
-    return counts.join(total, within).select(*within, *[c for c in of if c not in within], "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+    kept = counts.join(total, within).where((F.col("n") >= least) & (F.col("n") / F.col("total") >= least_share))
+    return kept.select(*within, *[c for c in of if c not in within], "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
 def slot_verdicts(votes: DataFrame, key: list[str], expected: str, heard: str, least: int = 3, share: float = 2 / 3) -> DataFrame:
     """Votes on what was heard in a slot: ``thin`` below ``least`` votes, else ``CONFIRMED``, ``FLIP`` or ``contested``."""
-    cells = votes.groupBy(*key, expected, heard).agg(F.count("*").alias("n"))
+    return slot_verdicts_of_cells(votes.groupBy(*key, expected, heard).agg(F.count("*").alias("n")), key, expected, heard, least, share)
+
+
+def slot_verdicts_of_cells(cells: DataFrame, key: list[str], expected: str, heard: str, least: int = 3, share: float = 2 / 3) -> DataFrame:
+    """The same from counts ``n`` of each cell."""
     per = cells.groupBy(*key, expected).agg(F.sum("n").alias("votes"), F.sum(F.when(F.col(heard) == F.col(expected), F.col("n")).otherwise(0)).alias("same"), F.min_by(heard, F.struct(-F.col("n"), F.col(heard))).alias("modal"), F.max("n").alias("top"))
     verdict = (
         F.when(F.col("votes") < least, "thin").when(F.col("same") >= share * F.col("votes"), "CONFIRMED")

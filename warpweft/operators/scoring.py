@@ -18,6 +18,32 @@ def edit_rate(rows: DataFrame, reference: Column, heard: Column, by: list[str])
     return each.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.sum("e").alias("edits"), F.sum("n").alias("symbols"), F.round(F.sum("e") / F.sum("n"), 6).alias("rate"))
 
 
+def readings_scored(rows: DataFrame, ref: Column, heard: Column, stress_ref: Column, stress_heard: Column, by: list[str]) -> DataFrame:
+    """Edits over symbols, and stress apart: of the pairs with equal symbols those whose stress stands elsewhere. Both symbol columns have one character per symbol."""
+    each = rows.select(*by, F.levenshtein(ref, heard).alias("e"), F.length(ref).alias("n"), F.coalesce(stress_ref == stress_heard, stress_ref.isNull() & stress_heard.isNull()).alias("s"))
+    same = F.col("e") == 0
+    return each.groupBy(*by).agg(
+        F.count("*").alias("n_pairs"), F.sum("e").alias("edits"), F.sum("n").alias("symbols"), F.round(F.sum("e") / F.sum("n"), 6).alias("rate"), F.count_if(same).alias("n_same"), F.count_if(same & ~F.col("s")).alias("n_stress_wrong")
+    )
+
+
+def differences(made: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(side, n)``: rows that only one of two tables has, repeated rows counted: none where a table equals the one derived again."""
+    a, b = made.exceptAll(wanted).agg(F.count("*").alias("n")), wanted.exceptAll(made).agg(F.count("*").alias("n"))
+    return a.select(F.lit("made only").alias("side"), "n").unionByName(b.select(F.lit("wanted only").alias("side"), "n"))
+
+
+def canaries(readings: DataFrame, key: str, value: str, expected: DataFrame, floors: dict[str, tuple[DataFrame, int]]) -> DataFrame:
+    """``(check, found, passed)``: tables with at least so many rows, and keys that must read as ``expected`` ``(key, value)``."""
+    every = None
+    for name, (df, least) in floors.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), F.col("n").cast("string").alias("found"), (F.col("n") >= least).alias("passed"))
+        every = one if every is None else every.unionByName(one)
+    held = readings.groupBy(key).agg(F.min(value).alias("_v"))
+    read = expected.join(held, key, "left").select(F.concat(F.lit("canary "), F.col(key).cast("string")).alias("check"), F.col("_v").alias("found"), F.col("_v").eqNullSafe(F.col(value)).alias("passed"))
+    return read if every is None else every.unionByName(read)
+
+
 def gates(checks: list[tuple[str, DataFrame]]) -> DataFrame:
     """``(gate, violations, passed)``: the number of rows of each frame of violations."""
     every = None

@@ -228,7 +228,8 @@ def group_split(spark, d):
     return sequences.group_split(table(spark, d, "documents").select("doc_id", "source"), "source", [("train", 58982), ("val", 62259), ("test", 65536)])
 
 
-_WRONG = "(SELECT tier, route, confidence, e.ipa IS NULL OR e.ipa <> g.hit AS wrong FROM eval_meta_2026_08_14 e JOIN (SELECT word, min(ipa) AS hit FROM eval_meta_2026_08_14 WHERE ipa IS NOT NULL GROUP BY word) g USING (word) WHERE word_no IS NOT NULL)"
+_TRUE = f"(SELECT word, min({_FIRST}) AS hit FROM g2p_gold_v3 WHERE gold_ipa IS NOT NULL AND word IS NOT NULL GROUP BY word)"
+_WRONG = f"(SELECT tier, route, confidence, e.ipa IS NULL OR e.ipa <> g.hit AS wrong FROM eval_meta_2026_08_14 e JOIN {_TRUE} g USING (word) WHERE word_no IS NOT NULL)"
 
 
 @query(
@@ -238,19 +239,36 @@ _WRONG = "(SELECT tier, route, confidence, e.ipa IS NULL OR e.ipa <> g.hit AS wr
     count(*) AS n, count(*) FILTER (wrong) AS n_wrong, round(count(*) FILTER (wrong) / count(*), 6) AS rate FROM {_WRONG} GROUP BY GROUPING SETS ((tier), (route), (confidence), ())""",
 )
 def wer_grouping_sets(spark, d):
-    """Words read otherwise than their least reading, by tier, route and confidence and in all."""
+    """Words read otherwise than their entry, by tier, route and confidence and in all."""
     e = table(spark, d, "eval_meta_2026_08_14")
-    g = e.where("ipa IS NOT NULL").groupBy("word").agg(F.min("ipa").alias("hit"))
+    g = table(spark, d, "g2p_gold_v3").where("gold_ipa IS NOT NULL AND word IS NOT NULL").groupBy("word").agg(F.min(F.get(P.variants(F.col("gold_ipa")), F.lit(0))).alias("hit"))
     j = e.where("word_no IS NOT NULL").join(g, "word")
     return scoring.rates_by(j, F.col("ipa").isNull() | (F.col("ipa") != F.col("hit")), ["tier", "route", "confidence"])
 
 
-@query("phone_error_rate", None)
+def _ascii_sql(column: str) -> str:
+    """Phones as ASCII letters, other characters dropped, so that an edit distance of bytes counts phones."""
+    codes = [chr(0xE000 + k) for k in range(len(P.ASCII_ORDER))]
+    for code, symbol in zip(codes, P.ASCII_ORDER):
+        column = f"replace({column}, '{symbol}', '{code}')"
+    return f"translate(regexp_replace({column}, '[^{codes[0]}-{codes[-1]}]', '', 'g'), '{''.join(codes)}', '{P.ASCII_LETTERS}')"
+
+
+_STRESSED = lambda c: f"CASE WHEN contains({c}, 'ˈ') THEN len(regexp_extract_all(split_part({c}, 'ˈ', 1), '{P.VOWEL}')) + 1 END"
+
+
+@query(
+    "phone_error_rate",
+    f"""SELECT model, count(*) AS n_pairs, CAST(sum(e) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS symbols, round(sum(e) / sum(n), 6) AS rate, count(*) FILTER (e = 0) AS n_same, count(*) FILTER (e = 0 AND a IS DISTINCT FROM b) AS n_stress_wrong FROM (SELECT model, levenshtein(r, x) AS e, length(r) AS n, a, b FROM (SELECT model, {_ascii_sql('ipa')} AS r, {_ascii_sql('h')} AS x, {_STRESSED('ipa')} AS a, {_STRESSED('h')} AS b
+    FROM (SELECT ipa, unnest(['flash', 'pro']) AS model, unnest([ipa_flash, ipa_pro]) AS h FROM stress_tts WHERE ipa IS NOT NULL) WHERE h IS NOT NULL)) GROUP BY model""",
+)
 def phone_error_rate(spark, d):
-    """Edits per phone of the two models' readings against the published one. SQL's edit distance counts bytes, so there is none."""
+    """Edits per phone of the two models' readings against the published one, and stress apart where the phones are equal."""
     s = table(spark, d, "stress_tts")
     each = s.select(F.col("ipa").alias("ref"), F.explode(F.array(F.struct(F.lit("flash").alias("model"), F.col("ipa_flash").alias("h")), F.struct(F.lit("pro").alias("model"), F.col("ipa_pro").alias("h")))).alias("x")).where("x.h IS NOT NULL AND ref IS NOT NULL")
-    return scoring.edit_rate(each.select("ref", F.col("x.model").alias("model"), F.col("x.h").alias("h")), P.one_char_each(F.col("ref")), P.one_char_each(F.col("h")), ["model"])
+    rows = each.select("ref", F.col("x.model").alias("model"), F.col("x.h").alias("h"))
+    stress = lambda c: P.stressed_nucleus(F.col(c))
+    return scoring.readings_scored(rows, P.ascii_phones(F.col("ref")), P.ascii_phones(F.col("h")), stress("ref"), stress("h"), ["model"])
 
 
 @query("char_accuracy", "SELECT split, count(*) AS n_rows, CAST(sum(len(marks)) AS BIGINT) AS n_chars, CAST(sum(len(list_filter(marks, lambda m: m IS NOT NULL))) AS BIGINT) AS n_supervised, round(sum(len(list_filter(marks, lambda m: m IS NOT NULL))) / sum(len(marks)), 6) AS share FROM yiexample WHERE marks IS NOT NULL GROUP BY split")
@@ -270,9 +288,13 @@ def vector_argmax(spark, d):
     return scoring.vector_argmax(table(spark, d, "embeddings"), "embedding", [("first_head", 0, 24), ("second_head", 24, 4), ("third_head", 28, 36)]).select("vec_id", "first_head", "second_head", "third_head")
 
 
-@query("confusion_matrix", f"SELECT label, head, n, round(n / sum(n) OVER (PARTITION BY label), 6) AS share FROM (SELECT label, {_ARG.format(a=1, b=10)} AS head, count(*) AS n FROM embeddings GROUP BY ALL)")
+_ALL = "CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER)"
+
+
+@query("confusion_matrix", f"SELECT label, head, n, round(n / sum(n) OVER (PARTITION BY label), 6) AS share FROM (SELECT label, {_ALL} AS head, count(*) AS n FROM embeddings GROUP BY ALL)")
 def confusion_matrix(spark, d):
-    cells = scoring.vector_argmax(table(spark, d, "embeddings"), "embedding", [("head", 0, 10)]).groupBy("label", "head").agg(F.count("*").alias("n"))
+    """Labels by the greatest element of the whole vector, with its share of the label."""
+    cells = scoring.vector_argmax(table(spark, d, "embeddings"), "embedding", [("head", 0, 64)]).groupBy("label", "head").agg(F.count("*").alias("n"))
     return evidence.shares(cells, ["label", "head"], ["label"])
 
 
@@ -311,24 +333,70 @@ def nw_alignment(spark, d):
     return align.heard_at(aligned, ["id"], "x", "y").groupBy("expected", "heard").agg(F.count("*").alias("n"))
 
 
-@query("greedy_cover", None)
+def _cover_sql(steps: int) -> str:
+    """Step after step: gains of all chunks without the words shown before, the best of them, its words."""
+    sql = f"WITH v AS (SELECT DISTINCT ann_id, unnest({duck_words('text_yi')}) AS w FROM annotations_gold), t AS (SELECT w, count(*) AS n FROM (SELECT unnest({duck_words('text')}) AS w FROM documents) GROUP BY w), x0 AS (SELECT ann_id, w, n FROM v JOIN t USING (w))"
+    for k in range(1, steps + 1):
+        sql += f", b{k} AS (SELECT ann_id, sum(n) AS gain FROM x{k - 1} GROUP BY ann_id ORDER BY gain DESC, ann_id LIMIT 1), x{k} AS (SELECT * FROM x{k - 1} WHERE w NOT IN (SELECT w FROM x{k - 1} WHERE ann_id = (SELECT ann_id FROM b{k})))"
+    return sql + " " + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS step, ann_id, CAST(gain AS DOUBLE) AS gain FROM b{k}" for k in range(1, steps + 1))
+
+
+def _cover_rows(spark, d):
+    from warpweft.plans.text_queries import corpus_types
+
+    rows = table(spark, d, "annotations_gold").select("ann_id", F.array_distinct(T.words(F.col("text_yi"))).alias("values"))
+    return rows, corpus_types(spark, d).select(F.col("type").alias("value"), F.col("freq").cast("double").alias("weight"))
+
+
+@query("greedy_cover", _cover_sql(10))
 def greedy_cover(spark, d):
     """The ten gold chunks that together show most of the corpus: words weigh what they occur."""
-    rows = table(spark, d, "annotations_gold").select("ann_id", F.array_distinct(T.words(F.col("text_yi"))).alias("values"))
-    weights = table(spark, d, "documents").select(F.explode(T.words(F.col("text"))).alias("value")).groupBy("value").agg(F.count("*").cast("double").alias("weight"))
+    rows, weights = _cover_rows(spark, d)
     return cover.greedy_cover(rows, "ann_id", "values", weights, 10)
 
 
+@query("cover_by_need", "SELECT true AS falling, true AS within")
+def cover_by_need(spark, d):
+    """Forty chunks that show each word up to three times: whether gains fall from step to step, as they must, and add up to no more than three times all weights."""
+    rows, weights = _cover_rows(spark, d)
+    picks = cover.greedy_cover(rows, "ann_id", "values", weights, 40, need=3)
+    pairs = picks.alias("a").join(picks.alias("b"), F.col("a.step") + 1 == F.col("b.step"), "left")
+    falling = pairs.agg(F.coalesce(F.bool_and(F.coalesce(F.col("b.gain") <= F.col("a.gain"), F.lit(True))), F.lit(True)).alias("falling"), F.coalesce(F.sum("a.gain"), F.lit(0.0)).alias("all"))
+    return falling.select("falling", (F.col("all") <= 3 * weights.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).scalar()).alias("within"))
+
+
+_KEYS = f"(SELECT DISTINCT ann_id, unnest({duck_words('text_yi')}) AS w FROM annotations_gold)"
+
+
+@query("one_pass_cover", f"WITH RECURSIVE o AS (SELECT ann_id, list(w) AS ws, row_number() OVER (ORDER BY count(*) DESC, ann_id) AS r FROM {_KEYS} WHERE w IN (SELECT word FROM g2p_gold_v3 WHERE word IS NOT NULL) GROUP BY ann_id), s(r, seen, ann_id, gain) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), 0 UNION ALL SELECT o.r, list_distinct(list_concat(s.seen, o.ws)), o.ann_id, len(list_filter(o.ws, lambda w: NOT list_contains(s.seen, w))) FROM s JOIN o ON o.r = s.r + 1), p AS (SELECT *, row_number() OVER (ORDER BY r) AS step FROM s WHERE gain > 0) SELECT CAST(step AS INTEGER) AS step, ann_id, CAST(gain AS DOUBLE) AS gain FROM p WHERE step <= 25")
+def one_pass_cover(spark, d):
+    """The first chunks, by how many entries they have, that each show an entry not shown before."""
+    rows, _ = _cover_rows(spark, d)
+    targets = table(spark, d, "g2p_gold_v3").where("word IS NOT NULL").select(F.col("word").alias("value"))
+    return cover.one_pass_cover(rows, "ann_id", "values", targets, 25)
+
+
 @query("stream_resume", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_resume(spark, d):
     """The event table read as a stream, each event once, appended to a pool, and counted: equals the batch counts."""
-    import uuid
-
-    from warpweft.plans.session import ensure_checkpoint_dir
+    from warpweft.plans.session import work_folder
     from warpweft.streaming import pool
 
-    base = f"{ensure_checkpoint_dir(spark)}/pool-{uuid.uuid4().hex}"
+    base = work_folder(spark, "pool")
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    stream = pool.read_pool(spark, f"{d}/events.parquet*", schema)
-    pool.append_pool(pool.once_per_key(stream, ["event_id"]), f"{base}/data", f"{base}/log")
+    pool.append_new(pool.read_pool(spark, f"{d}/events.parquet*", schema), ["event_id"], f"{base}/data", f"{base}/log")
     return spark.read.schema(schema).parquet(f"{base}/data").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("stream_verdicts", "SELECT user_id, CASE WHEN n < 3 THEN 'thin' WHEN same >= 2 / 3 * n THEN 'CONFIRMED' WHEN top >= 2 / 3 * n AND modal <> 'view' THEN 'FLIP' ELSE 'contested' END AS verdict FROM (SELECT user_id, sum(n) AS n, coalesce(sum(n) FILTER (event_type = 'view'), 0) AS same, max(n) AS top, arg_min(event_type, struct_pack(m := -n, e := event_type)) AS modal FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id)")
+def stream_verdicts(spark, d):
+    """Verdict on the usual event of each user as events come in as a stream; the last one written equals the batch verdict."""
+    from warpweft.plans.session import work_folder
+    from warpweft.streaming import pool
+
+    base = work_folder(spark, "verdicts")
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    votes = pool.read_pool(spark, f"{d}/events.parquet*", schema).select("user_id", F.lit("view").alias("expected"), "event_type")
+    pool.running_verdicts(votes, ["user_id"], "expected", "event_type", f"{base}/data", f"{base}/log")
+    changes = spark.read.parquet(f"{base}/data")
+    return changes.groupBy("user_id").agg(F.max_by("verdict", "batch").alias("verdict"))

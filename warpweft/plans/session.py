@@ -1,18 +1,20 @@
-"""Session helpers: where to checkpoint, and joins that survive hot keys."""
+"""Session helpers: where to checkpoint and to keep what queries write."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for ``checkpoint()``: the one the cluster names, else one of our own.
+    """The folder for ``checkpoint()``: the one the cluster names in ``spark.checkpoint.dir``.
 
-    A cluster sets ``spark.checkpoint.dir`` to a shared folder. Only where it is unset, as in
-    tests on one machine, a temporary folder is made.
+    Only on a local master, as in tests on one machine, a temporary folder is made where it is unset; it is deleted when Python ends. On a cluster an unset
+    folder is an error, since each worker would write to its own disk.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,19 +24,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if not current:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all workers share")
         current = tempfile.mkdtemp(prefix="warpweft-checkpoint-")
+        atexit.register(shutil.rmtree, current, ignore_errors=True)
         sc.setCheckpointDir(current)
     return current
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of its own beside the checkpoints."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, its lineage cut; survives lost executors."""
+    """``df`` written to the shared folder, its lineage cut; survives lost executors. Its files go with the frame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def join_small_or_shuffle(left: DataFrame, right: DataFrame, on, how: str = "inner", max_rows: int = 200_000) -> DataFrame:
-    """Broadcast ``right`` if a count proves that it has at most ``max_rows`` rows, else let Spark shuffle."""
-    bounded = right.limit(max_rows + 1).count() <= max_rows
-    return left.join(F.broadcast(right) if bounded else right, on, how)
-

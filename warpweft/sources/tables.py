@@ -60,10 +60,14 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def loose_json(reply: Column) -> Column:
-    """A JSON value out of a reply in free text: code fences stripped, cut to the outer braces; null if it isn't JSON."""
+    """A JSON value out of a reply in free text: code fences stripped, cut to the outer braces; null if it isn't JSON.
+
+    Where it isn't, a quote between two letters, as abbreviations have it, is taken for a sign and the value is tried again.
+    """
     bare = F.regexp_replace(reply, r"```[a-z]*", "")
     inner = F.regexp_extract(bare, r"(?s)(\{.*\}|\[.*\])", 1)
-    return F.try_parse_json(inner)
+    repaired = F.regexp_replace(inner, r'(?<=\p{L})"(?=\p{L})', "\u05f4")
+    return F.coalesce(F.try_parse_json(inner), F.try_parse_json(repaired))
 
 
 def reply_rows(replies: DataFrame, column: str, fields: list[str]) -> DataFrame:
@@ -78,21 +82,68 @@ def aliased(df: DataFrame, names: dict[str, list[str]]) -> DataFrame:
     return df.select(*[F.coalesce(*[F.col(c) for c in own if c in df.columns]).alias(to) if any(c in df.columns for c in own) else F.lit(None).alias(to) for to, own in names.items()])
 
 
-def swap_table(df: DataFrame, path: str) -> None:
-    """Writes a table beside its old version and then puts it in its place, so a rebuild never reads its own output. For file systems with an atomic rename."""
-    fresh = f"{path}.new"
+def swap_table(df: DataFrame, path: str, checked: Callable[[DataFrame], bool] | None = None) -> None:
+    """Writes a table beside its old version and then puts it in its place, so a rebuild never reads its own output.
+
+    If the new table fails ``checked``, it is deleted, the old one stays and an error is raised; if it can't be moved, the old one is put back. For file systems with an atomic rename.
+    """
+    fresh, kept = f"{path}.new", f"{path}.old"
     df.write.mode("overwrite").parquet(fresh)
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    to, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh, f"{path}.old"))
+    to, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh, kept))
     files = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if checked and not checked(spark.read.parquet(fresh)):
+        files.delete(new, True)
+        raise ValueError(f"the new table for {path} failed its check")
     files.delete(old, True)
-    if files.exists(to):
-        files.rename(to, old)
-    files.rename(new, to)
+    had = files.exists(to) and files.rename(to, old)
+    if not files.rename(new, to):
+        if had:
+            files.rename(old, to)
+        raise OSError(f"{path} could not be replaced")
     files.delete(old, True)
 
 
+def fan_out(rows: DataFrame, path: str, tables: dict[str, Column]) -> None:
+    """Several tables from one scan: each row goes to every table whose condition holds, in a folder ``table=name`` each."""
+    named = F.array_compact(F.array(*[F.when(holds, name) for name, holds in tables.items()]))
+    rows.withColumn("table", F.explode(named)).write.mode("overwrite").partitionBy("table").parquet(path)
+
+
+def write_lexicon(entries: DataFrame, path: str, key: str, order: list[Column]) -> None:
+    """A lexicon with one entry per key, in order, as a table; values need no quoting. Two entries of a key are an error."""
+    twice = entries.groupBy(key).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{twice[0][key]!r} has more than one entry")
+    entries.orderBy(*order).write.mode("overwrite").parquet(path)
+
+
+#: Rows of a section of a report at most; a longer one is an error, reports are summaries.
+MOST_REPORT_ROWS = 1000
+
+
+def markdown_table(df: DataFrame) -> str:
+    """A small result as a Markdown table."""
+    rows = df.limit(MOST_REPORT_ROWS + 1).collect()
+    if len(rows) > MOST_REPORT_ROWS:
+        raise ValueError(f"a report section has more than {MOST_REPORT_ROWS} rows")
+    show = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [df.columns, ["---"] * len(df.columns), *[[show(v) for v in r] for r in rows]]
+    return "\n".join(f"| {' | '.join(line)} |" for line in lines)
+
+
+def markdown_report(title: str, sections: dict[str, DataFrame]) -> str:
+    """A report of several small results."""
+    return "\n\n".join([f"# {title}", *[f"## {name}\n\n{markdown_table(df)}" for name, df in sections.items()]]) + "\n"
+
+
+def metric_report(spark: SparkSession, path: str, name: str, metrics: list[str]) -> DataFrame:
+    """One row per JSON file of metrics, of its name and the metrics wanted, null where a file hasn't one."""
+    df = spark.read.option("multiLine", True).json(path)
+    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    return df.select(stem.alias(name), *[F.col(m) if m in df.columns else F.lit(None).cast("double").alias(m) for m in metrics])
+
 
 def matched_replies(replies: DataFrame, column: str, fields: list[str], asked: DataFrame, key: str) -> DataFrame:
     """Rows of tab-separated replies that answer what was asked, by ``key``; fences, other lines and unasked keys are left out. Of several answers the last line counts."""
