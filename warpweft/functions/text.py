@@ -261,3 +261,18 @@ def first_captures(markup: Column, block: str, inside: str) -> Column:
     pieces = F.slice(pieces, F.lit(2), F.size(pieces))
     each = F.transform(pieces, lambda p: F.struct(F.regexp_extract(p, block, 1).alias("id"), F.nullif(F.regexp_extract(p, inside, 1), F.lit("")).alias("value")))
     return F.filter(each, lambda x: x["value"].isNotNull())
+
+
+def spelling_candidates(word: Column, swaps: list[tuple[str, str]]) -> Column:
+    """Other spellings of a word, one for each swap that changes it, each once, in list order; never the word itself."""
+    return F.filter(F.array_distinct(F.array(*[F.replace(word, F.lit(a), F.lit(b)) for a, b in swaps])), lambda w: w != word)
+
+
+def preprocessed(text: Column, contractions: list[tuple[str, str]], abbreviations: list[tuple[str, str]], swaps: list[tuple[str, str]]) -> Column:
+    """A line made ready for reading: double quotes dropped, contractions, then abbreviations written out as whole words, then patterns replaced; all lists are the caller's."""
+    t = F.translate(normal_surface(text), '"', "")
+    for short, full in [*contractions, *abbreviations]:
+        t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{M}}']){re.escape(short)}(?![\p{{L}}\p{{M}}'])", full)
+    for pattern, to in swaps:
+        t = F.regexp_replace(t, pattern, to)
+    return t

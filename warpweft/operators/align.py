@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -168,3 +169,16 @@ def forgiven(a: Column, b: Column, pairs: list[tuple[str, str]]) -> Column:
     """Whether two symbols are equal or one of the ``pairs``, in either order. Nulls aren't."""
     both = [f"{x}|{y}" for x, y in pairs] + [f"{y}|{x}" for x, y in pairs]
     return F.coalesce((a == b) | F.concat(a, F.lit("|"), b).isin(both), F.lit(False))
+
+
+def matching_blocks(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """``rows`` with ``blocks``, the runs ``(a, b, size)`` that two token arrays share when the longest is taken first and the rest aligned on either side. Equal pairs are aligned once; null for a null array."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [[{"a": m.a, "b": m.b, "size": m.size} for m in SequenceMatcher(None, list(x), list(y), autojunk=False).get_matching_blocks() if m.size] for x, y in zip(batch["a"], batch["b"])]
+            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "blocks": found})
+
+    pairs = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
+    done = pairs.mapInPandas(run, "a array<string>, b array<string>, blocks array<struct<a:int,b:int,size:int>>")
+    return rows.join(done, (rows[a] == done["a"]) & (rows[b] == done["b"]), "left").drop(done["a"]).drop(done["b"])

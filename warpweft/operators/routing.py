@@ -216,3 +216,27 @@ def unmasked(tokens: DataFrame, verdicts: DataFrame, place: list[str], word: str
         .when(letters(F.col("_winner")) != letters(F.col(word)), "letters").otherwise("unmasked")
     )
     return j.withColumn("why", why).withColumn("unmask", F.col("why") == "unmasked").drop("_word", "_winner", "_margin")
+
+
+def retagged_lines(tokens: DataFrame, line: str, pos: str, key: str, form: str, table: DataFrame, letters: Callable[[Column], Column]) -> DataFrame:
+    """``(line, text, n_changed, reverted)``: lines with the table's forms in place of their own; a line whose letters would come out changed keeps all its own forms."""
+    mapped = tokens.join(table.groupBy(key).agg(F.min("target").alias("_target")), key, "left").withColumn("_new", F.coalesce("_target", form))
+    per = mapped.groupBy(line).agg(
+        F.array_sort(F.collect_list(F.struct(pos, F.col(form).alias("old"), F.col("_new").alias("new")))).alias("_l"), F.count_if(F.col("_new") != F.col(form)).alias("_n"), F.bool_or(letters(F.col("_new")) != letters(F.col(form))).alias("reverted")
+    )
+    text = lambda part: F.array_join(F.transform("_l", lambda x: x[part]), " ")
+    return per.select(line, F.when(F.col("reverted"), text("old")).otherwise(text("new")).alias("text"), F.when(F.col("reverted"), 0).otherwise(F.col("_n")).alias("n_changed"), "reverted")
+
+
+def stripped_keys(word: Column, clitics: list[str], most: int = 2) -> Column:
+    """A word and what is left of it without one, two, ... leading clitic letters, at least two letters each, in this order."""
+    kept = [word]
+    for n in range(1, most + 1):
+        kept.append(F.when(word.rlike(f"^[{''.join(clitics)}]{{{n}}}.."), F.substr(word, F.lit(n + 1))))
+    return F.array_compact(F.array(*kept))
+
+
+def first_shape(rows: DataFrame, key: str, shape: str, order: list[str]) -> DataFrame:
+    """Rows whose shape is the one first seen for their key; rows of later, other shapes are left out."""
+    first = rows.groupBy(key).agg(F.min_by(shape, F.struct(*order)).alias("_first"))
+    return rows.join(first, key).where(F.col(shape).eqNullSafe(F.col("_first"))).drop("_first")

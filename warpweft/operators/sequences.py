@@ -143,3 +143,9 @@ def member_ngrams(rows: DataFrame, key: str, words: str, members: DataFrame, mem
     known = members.select(F.col(member).alias("_w"), F.lit(True).alias("_k")).distinct()
     line = each.join(known, "_w", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", F.when(F.col("_k"), F.col("_w")).alias("w")))).alias("_l"))
     return mine_ngrams(line.select(F.transform("_l", lambda x: x["w"]).alias("w")), "w", sizes, 1)
+
+
+def around(words: Column, at: Column, reach: int) -> tuple[Column, Column]:
+    """Up to ``reach`` words before and after the word at a place, counted from 0."""
+    begin = F.greatest(at - reach, F.lit(0))
+    return F.slice(words, begin + 1, at - begin), F.slice(words, at + 2, F.lit(reach))
