@@ -138,6 +138,14 @@ def test_rules_take_the_first_that_fits(spark):
     assert [r["rewritten"] for r in rewrite.rewrite_distinct(df, "v", stages).orderBy(F.col("v").desc_nulls_last()).collect()] == ["zʃs", "zʃs", None]
 
 
+def test_lists_sent_whole_are_bounded(spark):
+    from warpweft.plans.session import sent_whole
+
+    assert sent_whole(spark.range(3), 3).count() == 3
+    with pytest.raises(ValueError):
+        sent_whole(spark.range(4), 3)
+
+
 def test_affixes(spark):
     words = spark.createDataFrame([("ungut",), ("gut",), ("ungutes",), ("gutes",)], "w string")
     pre = spark.createDataFrame([("un", 0), ("u", 1)], "affix string, rank int")

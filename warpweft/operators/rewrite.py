@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from warpweft.plans.session import sent_whole
+
 
 class Rewriter:
     """Stages of rules ``(pattern, replacement)``. A stage is one left-to-right pass in which, at each place, the first rule
@@ -43,7 +45,7 @@ def affix_join(words: DataFrame, stems: DataFrame, affixes: DataFrame, word: str
     """
     fits = F.col(word).startswith(F.col("affix")) if prefix else F.col(word).endswith(F.col("affix"))
     rest = F.expr(f"substring({word}, length(affix) + 1)") if prefix else F.expr(f"left({word}, length({word}) - length(affix))")
-    cut = words.select(word).distinct().join(F.broadcast(affixes), fits).withColumn("_stem", rest).where(F.length("_stem") >= least)
+    cut = words.select(word).distinct().join(sent_whole(affixes), fits).withColumn("_stem", rest).where(F.length("_stem") >= least)
     known = stems.select(F.col(stem).alias("_stem")).distinct()
     order = F.struct(-F.length("affix") if prefix else F.col("rank"), F.col("affix"))
     return cut.join(known, "_stem").groupBy(word).agg(F.min_by(F.struct("affix", "_stem"), order).alias("x")).select(word, F.col("x.affix").alias("affix"), F.col("x._stem").alias("stem"))

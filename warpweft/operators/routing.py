@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from warpweft.functions import phones as P
 from warpweft.functions import phonology as G
 from warpweft.operators import sequences
+from warpweft.plans.session import sent_whole
 
 LEVELS = ["LOW", "MED", "HIGH"]
 
@@ -104,7 +105,7 @@ def affix_readings(
     """
     fits = F.col(word).startswith(F.col("affix")) if prefix else F.col(word).endswith(F.col("affix"))
     rest = F.substr(F.col(word), F.length("affix") + 1) if prefix else F.left(F.col(word), F.length(word) - F.length("affix"))
-    cut = words.select(word).distinct().join(F.broadcast(affixes), fits).withColumn("root", rest).where((F.length("root") >= least) & ~F.col("root").isin(stop or [""]))
+    cut = words.select(word).distinct().join(sent_whole(affixes), fits).withColumn("root", rest).where((F.length("root") >= least) & ~F.col("root").isin(stop or [""]))
     known = roots.groupBy(F.col("key").alias("root")).agg(F.min("ipa").alias("root_ipa"))
     made = cut.join(known, "root").withColumn("ipa", join(F.col("root_ipa"), F.col("affix_ipa"))).where("ipa IS NOT NULL")
     if guard:

@@ -109,11 +109,11 @@ def longest_matches(rows: DataFrame, key: str, words: str, phrases: DataFrame, l
     return met.groupBy(key).agg(ordered.alias("c")).select(key, F.explode(chosen).alias("m")).select(key, F.col("m.start").alias("start"), (-F.col("m.minus_n")).alias("n"), F.col("m.gram").alias("gram"))
 
 
-def round_robin(rows: DataFrame, item: str, group: str, order: list[str], most: int) -> DataFrame:
-    """Up to ``most`` rows per item, taking each group once before any twice."""
+def round_robin(rows: DataFrame, item: str, group: str, order: list[str], most: int, arrival: bool = False) -> DataFrame:
+    """Up to ``most`` rows per item, taking each group once before any twice; groups in order of name, or of ``order`` if they are to come as they arrive."""
     inner = F.row_number().over(W.partitionBy(item, group).orderBy(*order))
     turn = rows.withColumn("turn", inner).where(F.col("turn") <= most)
-    outer = F.row_number().over(W.partitionBy(item).orderBy("turn", group, *order))
+    outer = F.row_number().over(W.partitionBy(item).orderBy("turn", *([] if arrival else [group]), *order))
     return turn.withColumn("pick", outer).where(F.col("pick") <= most)
 
 

@@ -216,6 +216,17 @@ def round_robin_pick(spark, d):
     return sequences.round_robin(e, "word", "episode", ["sentence", "word_no"], 4).select("word", "episode", "sentence", "word_no", "pick")
 
 
+@query(
+    "arrival_pick",
+    """SELECT word, sentence, word_no, CAST(pick AS INTEGER) AS pick FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY turn, sentence, word_no) AS pick FROM
+    (SELECT *, row_number() OVER (PARTITION BY word, episode ORDER BY sentence, word_no) AS turn FROM (SELECT DISTINCT word, episode, sentence, word_no FROM eval_meta_2026_08_14 WHERE word IS NOT NULL AND episode IS NOT NULL AND word_no IS NOT NULL)) WHERE turn <= 3) WHERE pick <= 3""",
+)
+def arrival_pick(spark, d):
+    """Up to three places of each word, from different episodes first, episodes as they come."""
+    e = table(spark, d, "eval_meta_2026_08_14").where("word IS NOT NULL AND episode IS NOT NULL AND word_no IS NOT NULL").select("word", "episode", "sentence", "word_no").distinct()
+    return sequences.round_robin(e, "word", "episode", ["sentence", "word_no"], 3, arrival=True).select("word", "sentence", "word_no", "pick")
+
+
 @query("stratified_sample", "SELECT doc_id, source, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42' || doc_id), doc_id) AS rank FROM documents) WHERE rank <= 10")
 def stratified_sample(spark, d):
     """Ten documents per source in hash order."""
@@ -302,7 +313,10 @@ def confusion_matrix(spark, d):
     "dataset_gates",
     """SELECT 'mask length' AS gate, count(*) AS violations, count(*) = 0 AS passed FROM yiexample WHERE marks IS NOT NULL AND len(marks) <> length(text) UNION ALL
     SELECT 'unique id', count(*), count(*) = 0 FROM (SELECT row_id FROM yiexample GROUP BY row_id HAVING count(*) > 1) UNION ALL
-    SELECT 'equal text across splits', count(*), count(*) = 0 FROM (SELECT text FROM yiexample GROUP BY text HAVING count(DISTINCT split) > 1)""",
+    SELECT 'equal text across splits', count(*), count(*) = 0 FROM (SELECT text FROM yiexample GROUP BY text HAVING count(DISTINCT split) > 1) UNION ALL
+    SELECT 'episode in two splits', count(*), count(*) = 0 FROM (SELECT episode FROM yiexample WHERE episode <> '' GROUP BY episode HAVING count(DISTINCT split) > 1) UNION ALL
+    SELECT 'marks among letters', count(*), count(*) = 0 FROM yiexample WHERE regexp_matches(text, '\\p{Mn}') UNION ALL SELECT 'blank text', count(*), count(*) = 0 FROM yiexample WHERE text IS NULL OR trim(text) = '' UNION ALL
+    SELECT 'supervised count', count(*), count(*) = 0 FROM yiexample WHERE n_supervised < 0 OR n_supervised > length(text)""",
 )
 def dataset_gates(spark, d):
     """Checks a training table must pass, with the number of rows that don't."""
@@ -312,6 +326,9 @@ def dataset_gates(spark, d):
         ("mask length", y.where(F.col("marks").isNotNull() & (F.size("marks") != letters))),
         ("unique id", y.groupBy("row_id").count().where("count > 1")),
         ("equal text across splits", y.groupBy("text").agg(F.countDistinct("split").alias("n")).where("n > 1")),
+        ("episode in two splits", y.where("episode <> ''").groupBy("episode").agg(F.countDistinct("split").alias("n")).where("n > 1")),
+        ("marks among letters", y.where(F.col("text").rlike(r"\p{Mn}"))), ("blank text", y.where(F.col("text").isNull() | (F.trim("text") == ""))),
+        ("supervised count", y.where((F.col("n_supervised") < 0) | (F.col("n_supervised") > letters))),
     ])
 
 

@@ -40,13 +40,15 @@ def vowel_reduction(spark, d):
     return _readings(spark, d).select("ipa", G.reduce_unstressed(F.col("ipa")).alias("reduced"))
 
 
-_DEVOICED = "array_to_string(list_transform(string_split(ipa, ' '), lambda w: CASE WHEN w = '' THEN w ELSE left(w, length(w) - 1) || translate(right(w, 1), 'bdɡvzʒʤ', 'ptkfsʃʧ') END), ' ')"
+_DEVOICED = "ipa"
+for _voiced, _plain in G.FINAL_DEVOICE.items():
+    _DEVOICED = f"regexp_replace({_DEVOICED}, '{_voiced}([ -]|$)', '{_plain}\\1', 'g')"
 
 
-@query("final_devoicing", f"SELECT ipa, {_DEVOICED} AS devoiced FROM {_READ} WHERE NOT contains(ipa, '-') AND {_DEVOICED} <> ipa")
+@query("final_devoicing", f"SELECT ipa, {_DEVOICED} AS devoiced FROM {_READ} WHERE {_DEVOICED} <> ipa")
 def final_devoicing(spark, d):
-    """The added variant of each reading that devoicing at the ends of words changes."""
-    return _readings(spark, d).where("NOT contains(ipa, '-')").select("ipa", G.devoiced_final(F.col("ipa")).alias("devoiced")).where("devoiced IS NOT NULL")
+    """The added variant of each reading that devoicing at the ends of words and of their parts changes."""
+    return _readings(spark, d).select("ipa", G.devoiced_final(F.col("ipa")).alias("devoiced")).where("devoiced IS NOT NULL")
 
 
 @query("first_stress", f"SELECT ipa, CASE WHEN contains(ipa, 'ˈ') THEN ipa ELSE regexp_replace(ipa, 'aː|ej|aj|ɔj|oʊ|[aɛəiuɔ]', 'ˈ\\0') END AS marked FROM (SELECT DISTINCT replace(ipa, 'ˈ', '') AS ipa FROM stress_tts UNION SELECT ipa FROM stress_tts)")
@@ -56,7 +58,12 @@ def first_stress(spark, d):
     return s.union(s.select(F.replace("ipa", F.lit(P.STRESS), F.lit("")))).distinct().select("ipa", G.ensure_stress(F.col("ipa")).alias("marked"))
 
 
-@query("mark_repair", None)
+_KIND = lambda m: f"CASE WHEN {m} BETWEEN '\u05b0' AND '\u05bb' OR {m} = '\u05c7' THEN 'v' WHEN {m} IN ('\u05c1', '\u05c2') THEN 'd' ELSE {m} END"
+_MS = "list_filter(string_split(substring(u, 2), ''), lambda x: x <> '')"
+_REPAIRED = f"nfc_normalize(array_to_string(list_transform(regexp_extract_all(word, '\\P{{Mn}}\\p{{Mn}}*'), lambda u: substring(u, 1, 1) || array_to_string(list_filter({_MS}, lambda m, i: NOT list_contains(list_transform(({_MS})[1:i - 1], lambda y: {_KIND('y')}), {_KIND('m')})), '')), ''))"
+
+
+@query("mark_repair", f"SELECT word, n, repaired FROM (SELECT word, count(*) AS n, {_REPAIRED} AS repaired FROM (SELECT unnest(regexp_split_to_array(text_yi_pointed, '\\s+')) AS word FROM annotations_gold WHERE text_yi_pointed IS NOT NULL) GROUP BY word) WHERE repaired <> word")
 def mark_repair(spark, d):
     """Pointed words whose marks had to be put in order, and how often each occurs."""
     each = table(spark, d, "annotations_gold").select(F.explode(F.split("text_yi_pointed", r"\s+")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))

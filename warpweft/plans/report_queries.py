@@ -248,10 +248,13 @@ def cache_key(spark, d):
 
 
 # ---- samples
-@query("one_per_episode", "SELECT episode, arg_min(ann_id, struct_pack(h := md5('42' || ann_id), k := ann_id)) AS ann_id FROM annotations_gold WHERE episode IS NOT NULL GROUP BY episode")
+@query("one_per_episode", "SELECT episode, ann_id, CASE WHEN CAST('0x' || substring(md5('7' || episode), 1, 4) AS INTEGER) < 45875 THEN 'harvest' ELSE 'test' END AS split_name FROM (SELECT episode, arg_min(ann_id, struct_pack(h := md5('42' || ann_id), k := ann_id)) AS ann_id FROM annotations_gold WHERE episode IS NOT NULL GROUP BY episode)")
 def one_per_episode(spark, d):
-    """One chunk of each episode, the first in hash order."""
-    return S.one_per_group(table(spark, d, "annotations_gold").where("episode IS NOT NULL").select("episode", "ann_id"), "episode", "ann_id")
+    """One chunk of each episode, the first in hash order, seven in ten of them to be harvested and the others for a test."""
+    from warpweft.operators.sequences import group_split
+
+    one = S.one_per_group(table(spark, d, "annotations_gold").where("episode IS NOT NULL").select("episode", "ann_id"), "episode", "ann_id")
+    return group_split(one, "episode", [("harvest", 45875), ("test", 65536)], "7")
 
 
 @query("held_out_split", "SELECT split_name, count(*) AS n FROM (SELECT CASE WHEN episode = '1000000' THEN 'test' WHEN CAST('0x' || substring(md5('42' || coalesce(episode, '')), 1, 4) AS INTEGER) < 1310 THEN 'val' ELSE 'train' END AS split_name FROM yiexample) GROUP BY split_name")

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -41,3 +42,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, its lineage cut; survives lost executors. Its files go with the frame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def sent_whole(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A list made by hand, marked to be sent whole to every task; one with more than ``most`` rows is an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a list that is sent whole has more than {most} rows")
+    return F.broadcast(df)
