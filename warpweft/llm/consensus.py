@@ -18,8 +18,8 @@ import unicodedata
 import warnings
 from collections import defaultdict
 from collections.abc import Iterator
+from math import exp, log
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,6 +119,15 @@ class Model:
 
     def __init__(self, competence: dict[str, float] | None = None, guess: dict[tuple[str, int, int], float] | None = None):
         self.competence, self.guess = competence or {}, guess or {}
+        self.held: dict[tuple[str, int, int], tuple[float, float]] = {}
+
+    def weigh(self, annotator: str, n: int, label: int) -> tuple[float, float]:
+        """What a vote adds to the log score of its place, and how likely it is the truth if the place is right. Worked out once per annotator and label."""
+        key = annotator, n, label
+        if key not in self.held:
+            c, g = self.parts(*key)
+            self.held[key] = log(c / ((1 - c) * g) + 1), c / (c + (1 - c) * g)
+        return self.held[key]
 
     def parts(self, annotator: str, n: int, label: int) -> tuple[float, float]:
         """Probability of competence, and of this label as a guess."""
@@ -128,10 +137,9 @@ class Model:
         """How likely each of the voted places of a contested word is."""
         score: dict[tuple[int, ...], float] = defaultdict(float)
         for k, label, places in site[2]:
-            c, g = self.parts(annotators[k], site[1], label)
-            score[places] += float(np.log(c / ((1 - c) * g) + 1))
+            score[places] += self.weigh(annotators[k], site[1], label)[0]
         top = max(score.values())
-        raw = {p: float(np.exp(s - top)) for p, s in score.items()}
+        raw = {p: exp(s - top) for p, s in score.items()}
         total = sum(raw.values())
         return {p: v / total for p, v in raw.items()}
 
@@ -140,8 +148,7 @@ class Model:
         for site in found:
             post = self.posterior(site, annotators)
             for k, label, places in site[2]:
-                c, g = self.parts(annotators[k], site[1], label)
-                true = post[places] * c / (c + (1 - c) * g)
+                true = post[places] * self.weigh(annotators[k], site[1], label)[1]
                 cell = into[annotators[k], site[1], label]
                 cell[0] += true
                 cell[1] += 1 - true

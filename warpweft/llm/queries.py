@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from warpweft.llm import abuse, canonical, consensus, groups, language, overlap, packing, passages
 from warpweft.llm.lookalike import INVISIBLE, look_pairs
+from warpweft.plans.session import checkpointed
 from warpweft.sources.tables import spread
 
 
@@ -29,7 +30,8 @@ def _plan(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> list[tu
 
 
 def _p1_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consensus.readings(_t(spark, sf_dir, "stress_tts"), _t(spark, sf_dir, "stress_votes"))
+    """Items with all their readings, written once: they are read for the sample, in every pass and for the result. Dealt out, since what follows is costly per row."""
+    return spread(checkpointed(consensus.readings(_t(spark, sf_dir, "stress_tts"), _t(spark, sf_dir, "stress_votes"))))
 
 
 def p1_items(spark: SparkSession, sf_dir: str) -> DataFrame:
