@@ -4,6 +4,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from warpweft.llm import packing as P
 from warpweft.llm import queries as Q
 
@@ -37,6 +39,21 @@ def test_pack(spark):
     assert P.pack(spark.createDataFrame([], "doc_id bigint, tokens bigint"), [("p", 10)]).count() == 0
 
 
+def test_repeated_and_null_ids_fill_no_block_by_themselves(spark):
+    big = (1 << 60) + 1
+    rows = [(7, 3)] * 400 + [(None, 3)] * 400 + [(big, 3), (big + 1, 25), (big + 2, 25)]
+    placed = P.pack(spark.createDataFrame(rows, "doc_id bigint, tokens bigint"), [("p", 10)], block_pieces=50)
+    got = placed.collect()
+    assert sum(r["tokens"] for r in got) == sum(n for _, n in rows) and {r["doc_id"] for r in got} == {7, None, big, big + 1, big + 2}
+    blocks = {}
+    for r in got:
+        if r["container"] < 1 << 62:
+            blocks[r["container"] >> 32] = blocks.get(r["container"] >> 32, 0) + 1
+    assert max(blocks.values()) < 150
+    assert all(u["used"] <= 10 for u in placed.groupBy("container").agg(F.sum("tokens").alias("used")).collect())
+    assert P.fill_report(placed).first()["fullest"] == 10
+
+
 def test_token_counts(spark):
     docs = spark.createDataFrame([(1, "a b", 5), (2, None, 5), (3, "", 5), (4, "wort " * 5000, 5)], "doc_id bigint, text string, tokens bigint")
     got = {r["doc_id"]: r["tokens"] for r in P.token_counts(docs).collect()}

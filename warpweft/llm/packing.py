@@ -1,6 +1,6 @@
 """Problem 6: documents of unlike lengths in containers of fixed capacity, by minimum bin slack.
 
-Lengths are counted in tokens of a public tokenizer. Documents are hashed into blocks of a bounded number of pieces; each block is packed by itself, so no task ever holds
+Lengths are counted in tokens of a public tokenizer. Documents are hashed by id and row into blocks of a bounded number of pieces, so that a repeated or null id fills no block by itself; each block is packed by itself, so no task ever holds
 more. For each container the longest piece left is taken, and a subset-sum over the lengths left, kept as a bitset, finds
 the multiset of lengths that fills the rest closest; the counts are read back from the bitsets.
 
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ TOKENIZERS = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 #: Pre-token pattern that the files of the byte-level vocabularies name as theirs.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Stands for a null id while a block is packed.
+NO_ID = -(1 << 63)
 PLACED = "plan_name string, capacity int, doc_id bigint, piece int, tokens bigint, container bigint, position int, start bigint"
 
 
@@ -42,12 +45,13 @@ def encoding(folder: str, name: str):
 def token_counts(docs: DataFrame, folder: str = TOKENIZERS, name: str = TOKENIZER) -> DataFrame:
     """``(doc_id, tokens)`` for each row; 0 for null. The whole text is tokenized."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(folder, name).encode_ordinary
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": [len(encode(t)) if t else 0 for t in batch["text"]]})
+            tokens = pa.array([len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), tokens], names=["doc_id", "tokens"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(count, "doc_id bigint, tokens bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(count, "doc_id bigint, tokens bigint")
 
 
 def closest_fill(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -122,8 +126,9 @@ def pack(counted: DataFrame, plans: list[tuple[str, int]], block_pieces: int = 1
 
     ``container`` is unique within a plan; ``piece`` counts the parts of a document that is cut; ``start`` is the piece's first token in its container.
     """
-    counted = checkpointed(counted)
-    n, total = counted.agg(F.count("*"), F.sum("tokens")).first()
+    # The number of a row in the written table tells rows of one id apart and doesn't change when a task is run again.
+    counted = checkpointed(counted.select("doc_id", "tokens")).withColumn("_row", F.monotonically_increasing_id())
+    n = counted.count()
     parts = []
     for name, capacity in plans:
         if not capacity or capacity < 1:
@@ -131,17 +136,19 @@ def pack(counted: DataFrame, plans: list[tuple[str, int]], block_pieces: int = 1
         blocks = max(1, -(-n // block_pieces))
         whole = F.floor(F.col("tokens") / capacity)
         rest = F.col("tokens") % capacity
-        base = counted.select(F.lit(name).alias("plan_name"), F.lit(capacity).cast("int").alias("capacity"), "doc_id", "tokens")
+        base = counted.select(F.lit(name).alias("plan_name"), F.lit(capacity).cast("int").alias("capacity"), "doc_id", "tokens", "_row")
         cut = base.where(f"tokens > {capacity}").withColumn("piece", F.explode(F.sequence(F.lit(0), (whole - 1).cast("int"))))
         parts.append(
             cut.select("plan_name", "capacity", "doc_id", "piece", F.lit(capacity).cast("bigint").alias("tokens"),
-                       (F.pmod(F.xxhash64("doc_id", "piece"), F.lit(1 << 62)) + (1 << 62)).alias("container"), F.lit(0).alias("position"), F.lit(0).cast("bigint").alias("start"))
+                       (F.monotonically_increasing_id() + (1 << 62)).alias("container"), F.lit(0).alias("position"), F.lit(0).cast("bigint").alias("start"))
         )
         parts.append(base.where("tokens = 0").select("plan_name", "capacity", "doc_id", F.lit(0).alias("piece"), "tokens", F.lit(None).cast("bigint").alias("container"), F.lit(None).cast("int").alias("position"), F.lit(None).cast("bigint").alias("start")))
         small = base.where(f"tokens > 0 AND (tokens <= {capacity} OR tokens % {capacity} > 0)").withColumn("piece", F.when(F.col("tokens") > capacity, whole).otherwise(0).cast("int"))
-        small = small.withColumn("tokens", F.when(F.col("tokens") > capacity, rest).otherwise(F.col("tokens"))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+        small = small.withColumn("tokens", F.when(F.col("tokens") > capacity, rest).otherwise(F.col("tokens"))).withColumn("block", F.pmod(F.xxhash64("doc_id", "_row"), F.lit(blocks)).cast("int")).drop("_row")
 
-        parts.append(small.groupBy("block").applyInPandas(_filler(name, capacity), PLACED))
+        # Ids stay whole numbers in pandas only without nulls.
+        packed = small.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).groupBy("block").applyInPandas(_filler(name, capacity), PLACED)
+        parts.append(packed.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))))
     if not parts:
         return counted.sparkSession.createDataFrame([], PLACED)
     whole_frame = parts[0]
@@ -156,3 +163,11 @@ def fill_report(placed: DataFrame) -> DataFrame:
     return per.groupBy("plan_name", "capacity").agg(
         F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), F.sum("cut").alias("n_cuts"), (F.sum("used") / (F.count("*") * F.col("capacity"))).alias("fill"), F.max("used").alias("fullest")
     )
+
+
+def pack_checks(placed: DataFrame) -> DataFrame:
+    """Per plan: pieces' documents, containers above their capacity, and documents cut though they fit, which both must be none."""
+    per = placed.where("container IS NOT NULL").groupBy("plan_name", "capacity", "container").agg(F.sum("tokens").alias("used")).groupBy("plan_name").agg(F.count_if(F.col("used") > F.col("capacity")).alias("n_over"))
+    docs = placed.groupBy("plan_name", "capacity", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"))
+    docs = docs.groupBy("plan_name").agg(F.count("*").alias("n_docs"), F.count_if((F.col("tokens") <= F.col("capacity")) & (F.col("pieces") > 1)).alias("n_cut_small"))
+    return docs.join(per, "plan_name", "left").select("plan_name", "n_docs", "n_cut_small", F.coalesce("n_over", F.lit(0)).alias("n_over"))
