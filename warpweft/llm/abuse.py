@@ -228,6 +228,7 @@ def score(docs: DataFrame, machine: Machine | None, threshold: float = 0.5) -> D
 
 
 def rates(docs: DataFrame, scores: DataFrame) -> DataFrame:
-    """Per source: documents, abusive documents, and their share."""
-    named = docs.select("doc_id", "source").join(scores.select("doc_id", "n_abusive"), "doc_id")
+    """Per source: documents, abusive documents, and their share. Rows of one id, which all have been scored, meet one score."""
+    best = scores.groupBy("doc_id").agg(F.max("n_abusive").alias("n_abusive"))
+    named = docs.select("doc_id", "source").join(best, "doc_id")
     return named.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if(F.col("n_abusive") > 0).alias("n_abusive"), F.avg((F.col("n_abusive") > 0).cast("int")).alias("rate"))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warpweft.llm.lookalike import look_form
+from warpweft.llm.lookalike import composed, look_form
 from warpweft.plans.session import checkpointed
 
 COLLATION = "UNICODE"
@@ -34,7 +34,7 @@ def look_classes(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = values.sparkSession
     counted = values.where(F.col("value").isNotNull()).groupBy("field", "value").agg(F.count("*").alias("n"))
     # The mapped form is dear and read twice.
-    counted = checkpointed(counted.withColumn("look", look_form(F.col("value"), every_word=True)).where("look <> ''"))
+    counted = checkpointed(counted.withColumn("look", composed(look_form(F.col("value"), every_word=True))).where("look <> ''"))
     counted.createOrReplaceTempView("warpweft_look_values")
     grouped = spark.sql(
         f"""SELECT field, look, min_by(value, struct(-n, value)) AS canonical, count(*) AS n_values, sum(n) AS n_rows
@@ -46,7 +46,7 @@ def look_classes(values: DataFrame) -> tuple[DataFrame, DataFrame]:
 def canonical_values(values: DataFrame) -> DataFrame:
     """``(field, id, value, form, canonical, n_values)`` of ``(field, id, value)``: every row, with its one form.
 
-    ``form`` is the mapped form, equal for all members of a class; ``canonical`` the chosen member as stored. For null and blank
+    ``form`` is the mapped form in canonical composition, equal for all members of a class; ``canonical`` the chosen member as stored. For null and blank
     values ``form`` and ``canonical`` are the value itself.
     """
     each, classes = look_classes(values)

@@ -118,3 +118,11 @@ def assign_splits(rows: DataFrame, key: str, groups: DataFrame, plan: list[tuple
     if giants:
         split = F.when(F.col("group_episode").isin(giants), plan[0][0]).otherwise(split)
     return placed.withColumn("split", split).drop("_bucket")
+
+
+def split_checks(placed: DataFrame) -> DataFrame:
+    """One row: rows, groups, and groups that more than one split has, which must be none."""
+    per = placed.where("group_episode IS NOT NULL").groupBy("group_episode").agg(F.min("split").alias("least"), F.max("split").alias("greatest"))
+    rows = placed.agg(F.count("*").alias("n_rows"), F.count_if(F.col("split").isNull()).alias("n_unplaced"))
+    parted = per.agg(F.count("*").alias("n_groups"), F.count_if(F.col("least") != F.col("greatest")).alias("n_parted")).withColumn("one", F.lit(1))
+    return rows.withColumn("one", F.lit(1)).join(parted, "one").drop("one")

