@@ -8,7 +8,7 @@ def run(spark, rows):
     seed = [(1000 + k, t, lang) for k in range(6) for t, lang in ((YI, "yi"), (HE, "he"), (EN, "en"), (DE, "de"), (RU, "ru"), (YL, "yi"))]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows + seed], ROWS)
     p = L.prepared(df)
-    runs = L.segments(p, L.fit(p))
+    runs = L.segments(p, L.fit(df))
     return runs, p
 
 
@@ -30,8 +30,8 @@ def test_labels(spark):
 
 
 def test_empty(spark):
-    p = L.prepared(spark.createDataFrame([], ROWS))
-    assert L.segments(p, L.fit(p)).count() == 0
+    df = spark.createDataFrame([], ROWS)
+    assert L.segments(L.prepared(df), L.fit(df)).count() == 0
 
 
 def test_unseen_words_back_off_to_ngrams():

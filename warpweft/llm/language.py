@@ -138,9 +138,10 @@ def prepared(transcripts: DataFrame) -> DataFrame:
     return s.withColumn("words", F.transform("said", plain_form))
 
 
-def fit(rows: DataFrame, sample_rows: int = 20_000, rounds: int = 4) -> Backoff:
-    """A model from at most ``sample_rows`` transcripts."""
-    sample = rows.where("size(said) > 0").select("asr_id", "label", "words").orderBy(F.xxhash64("asr_id"), "asr_id").limit(sample_rows).collect()
+def fit(transcripts: DataFrame, sample_rows: int = 20_000, rounds: int = 4) -> Backoff:
+    """A model from at most ``sample_rows`` transcripts with a text, chosen by the hash of their id before any text is cut into words."""
+    chosen = transcripts.where("trim(text_whisper) <> ''").select("asr_id", "language", "text_whisper").orderBy(F.xxhash64("asr_id"), "asr_id").limit(sample_rows)
+    sample = prepared(chosen).where("size(said) > 0").select("asr_id", "label", "words").collect()
     texts = [(r["label"], [letters_only(w) for w in r["words"]]) for r in sample]
     labelled = []
     for label, each in texts:

@@ -102,8 +102,9 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _p5_segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = language.prepared(_t(spark, sf_dir, "runpod_whisper_sample"))
-    return rows, language.segments(rows, language.fit(rows))
+    transcripts = _t(spark, sf_dir, "runpod_whisper_sample")
+    rows = language.prepared(transcripts)
+    return rows, language.segments(rows, language.fit(transcripts))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,12 +128,12 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p6_pack(spark, sf_dir))
 
 
-def _p7_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per plan: documents placed, containers above capacity and documents cut without need: none."""
     return packing.pack_checks(p6_pack(spark, sf_dir))
 
 
+def _p7_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.find_passages(spread(_t(spark, sf_dir, "documents").select("doc_id", "text")), _t(spark, sf_dir, "held_out_items"))
 
 
@@ -188,18 +189,17 @@ def _p2_values_sql() -> str:
         "SELECT 'text_yi' AS field, ann_id AS id, text_yi AS value, NULL AS n FROM annotations_gold UNION ALL SELECT 'text_yi_pointed', ann_id, text_yi_pointed, NULL FROM annotations_gold "
         "UNION ALL SELECT 'word', CAST(rank AS VARCHAR), word, rank FROM g2p_gold_v3"
     )
-    return (
     return f"WITH v AS ({values}), f AS (SELECT field, id, n, value, nfc_normalize({form}) AS form FROM v)"
 
 
 def _p2_sql() -> str:
     """All pairs with one form and two strings."""
+    return (
         f"{_p2_values_sql()} SELECT a.field, a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.field = b.field AND a.form = b.form "
         "AND a.value <> b.value AND CASE WHEN a.n IS NULL THEN a.id < b.id ELSE a.n < b.n END WHERE a.form <> ''"
     )
 
 
-def _p3_sql() -> str:
 def _p2_forms_sql() -> str:
     """Every row with the form of its value and the commonest value of that form."""
     return (
@@ -208,6 +208,7 @@ def _p2_forms_sql() -> str:
     )
 
 
+def _p3_sql() -> str:
     """Groups by a recursive walk over the links of the episodes."""
     wide = "".join(chr(0xFF10 + k) for k in range(10))
     number = lambda c: f"nullif(regexp_extract(translate({c}, '{wide}', '0123456789'), '(?:^|[^0-9])0*([1-9][0-9]{{6}})(?:[^0-9]|$)', 1), '')"
