@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from warpweft.llm.lookalike import look_form
-from warpweft.plans.session import checkpointed
+from warpweft.plans.session import forgotten, written
 
 # Entries that name nobody.
 PLACEHOLDERS = ["", "?", "-", "na", "none", "null", "nil", "unknown", "unk", "tbd", "anonymous"]
@@ -58,10 +58,12 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for links ``(u, v)`` by alternating large-star and small-star; ``component`` is the least node.
 
-    The result of each round is written to the checkpoint folder and compared with the last by count and checksum.
+    The result of each round is written to the shared folder and compared with the last by count and checksum; then the last one is deleted.
     """
+    spark = links.sparkSession
+    links, _ = written(links.select("u", "v").distinct())
     nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    edges = checkpointed(links.where("u <> v").select("u", "v").distinct())
+    edges, at = links.where("u <> v"), None
     state, before = _state(edges), None
     for _ in range(max_rounds):
         if not state[0] or state == before:
@@ -70,8 +72,10 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = _with_minimum(both).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _with_minimum(large)
         turned = small.select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v").alias("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
-        edges = checkpointed(turned.where("u <> v").distinct())
-        before, state = state, _state(edges)
+        (edges, made), old = written(turned.where("u <> v").distinct()), at
+        before, state, at = state, _state(edges), made
+        if old:
+            forgotten(spark, old)
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     stars = edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
@@ -103,7 +107,8 @@ def assign_splits(rows: DataFrame, key: str, groups: DataFrame, plan: list[tuple
     placed = rows.join(named, rows["episode"] == named["_episode_name"], "left").drop("_episode_name")
     place = F.coalesce(F.col("group_episode").cast("string"), F.concat(F.lit("/"), F.col(key).cast("string")), F.lit("/"))
     placed = placed.withColumn("_bucket", F.pmod(F.xxhash64(place, F.lit(seed)), F.lit(buckets)).cast("int"))
-    sizes = placed.groupBy("group_episode", "_bucket").agg(F.count("*").alias("n"))
+    # One row per group and per bucket of rows without one, read three times.
+    sizes, _ = written(placed.groupBy("group_episode", "_bucket").agg(F.count("*").alias("n")))
     n_all = sizes.agg(F.sum("n")).first()[0] or 0
     is_giant = F.col("group_episode").isNotNull() & (F.col("n") > min(s for _, s in plan) * n_all / 2)
     giants = [r["group_episode"] for r in sizes.where(is_giant).select("group_episode").collect()]
