@@ -110,7 +110,7 @@ def following_words(text: Column) -> Column:
     """Like ``words_or_null``, but null as well for a word that a sign parts from the word before: what may continue a phrase."""
 
     def joined(before: Column, t: Column) -> Column:
-        parted = (edges(before)[2] != "") | (edges(t)[0] != "")
+        parted = before.rlike(rf"[^\p{{L}}\p{{N}}\p{{M}}'{APOSTROPHES}]$") | t.rlike(rf"^[^\p{{L}}\p{{N}}'{APOSTROPHES}]")
         return F.when(~parted, F.nullif(F.lower(core(t)), F.lit("")))
 
     every = tokens(text)
