@@ -85,3 +85,56 @@ def test_nothing_of_unknown_size_is_sent_whole(spark):
     df = spark.createDataFrame([("train", "a", "eins zwei drei vier"), ("eval", "b", "eins zwei drei vier")], "side string, id string, text string")
     plan = O.overlap_pairs(*O.linked_texts(df))._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_keys_take_little_more_room_than_words():
+    for n in (13, 20, 30, 60, 78):
+        words = np.arange(n, dtype=np.uint64) * np.uint64(7919)
+        assert len(O.rare_keys(words, np.ones(O.BUCKETS, np.int64))) < 2 * n
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+
+def test_rounds_lose_no_pair_and_leave_no_shuffle_files(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [[f"w{chr(97 + rng.randrange(26))}" for _ in range(rng.choice([4, 7, 9, 14, 20, 31]))] for _ in range(60)]
+    rows = [("train", f"t{k:02d}", " ".join(t)) for k, t in enumerate(texts)]
+    for k, t in enumerate(texts):
+        new = list(t)
+        for _ in range(-(-len(t) // 3) - 1):
+            new.insert(rng.randrange(len(new) + 1), "neu") if rng.random() < 0.3 else new.pop(rng.randrange(len(new)))
+        rows.append(("eval", f"e{k:02d}", " ".join(new)))
+    want = {(i, j) for s, i, a in rows for s2, j, b in rows if s == "eval" and s2 == "train" and 3 * edits(a.split(), b.split()) < max(len(a.split()), len(b.split()))}
+    df = spark.createDataFrame(rows, "side string, id string, text string")
+    monkeypatch.setattr(O, "WORDS_A_ROUND", 100, raising=False)
+    before = shuffle_files(spark)
+    members, links = O.linked_texts(df)
+    left = {x.split("_")[1] for x in shuffle_files(spark) - before}
+    assert {(r["id_a"], r["id_b"]) for r in O.overlap_pairs(members, links).collect()} == want and len(want) >= 20
+    # The counts of words alone may be left: one shuffle of bounded size.
+    assert len(left) <= 1
+
+
+def test_every_near_pair_has_a_key_in_common_and_signatures_that_allow_it():
+    rng = random.Random(8)
+    counts = np.array([rng.randrange(1, 9) for _ in range(O.BUCKETS)], np.int64)
+    for _ in range(4000):
+        n = rng.randrange(3, 32)
+        a = [rng.randrange(1, 12) * 7919 for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.randrange(1, -(-n // 3) + 2)):
+            at = rng.choice([0, len(b), rng.randrange(len(b) + 1)])
+            b[at : at + rng.randrange(2)] = [rng.randrange(1, 12) * 7919] * rng.randrange(2)
+        longer, shorter = (a, b) if len(a) >= len(b) else (b, a)
+        most = -(-len(longer) // 3) - 1
+        if len(shorter) < 3 or a == b or edits(a, b) > most:
+            continue
+        x, y = (np.array(t, np.uint64) for t in (longer, shorter))
+        zero = np.array([0])
+        assert set(O.segment_keys(x, zero, np.array([len(x)]), counts)[1]) & set(O.window_keys(y, zero, np.array([len(y)]))[1])
+        p, q = (O.signatures(t, zero, counts) for t in (x, y))
+        assert sum(int(v[0] & ~w[0]).bit_count() for v, w in zip(p, q)) <= most
+        assert sum(int(w[0] & ~v[0]).bit_count() for v, w in zip(p, q)) <= most - (len(x) - len(y))

@@ -44,11 +44,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` written as a table in the shared folder and read back, and where it is: cuts lineage like ``checkpointed``, but computes ``df`` once, takes less room, and can be given up by ``forgotten``."""
-    path = work_folder(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+#: Spark's setting to delete a query's shuffle files when it ends, instead of when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, free_shuffles: bool = False) -> tuple[DataFrame, str]:
+    """``df`` written as a table in the shared folder and read back, and where it is: cuts lineage like ``checkpointed``, but computes ``df`` once, takes less room, and can be given up by ``forgotten``.
+
+    With ``free_shuffles`` the shuffle files of the writing go when it has ended.
+    """
+    spark = df.sparkSession
+    path, before = work_folder(spark, "table"), spark.conf.get(CLEANUP, None)
+    if free_shuffles:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free_shuffles:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def forgotten(spark: SparkSession, path: str) -> None:
