@@ -10,7 +10,7 @@ import re
 import unicodedata
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters of other scripts that look like a Latin letter, after the letter itself.
@@ -88,9 +88,16 @@ def look_form(text: Column, every_word: bool = False) -> Column:
     one-character forms of two letters become two letters; marks are decomposed and ordered. A Latin letter of another script is only
     mapped in a word that has no other letter of that script, so that Russian or Greek words keep theirs; with ``every_word`` it always is.
     """
-    t = F.regexp_replace(text, INVISIBLE, "")
-    t = decomposed(t)
-    t = F.translate(t, *look_pairs(False))
+    return look_of_typed(typed_form(F.regexp_replace(text, INVISIBLE, "")), every_word)
+
+
+def typed_form(visible: Column) -> Column:
+    """First step of ``look_form``, after invisible characters: decomposed, with one sign for all kinds of it. Spark takes the reflection in it for random, so it computes it anew for each use unless it is a column of its own."""
+    return F.translate(decomposed(visible), *look_pairs(False))
+
+
+def look_of_typed(t: Column, every_word: bool = False) -> Column:
+    """The rest of ``look_form``."""
     source = "".join(k for kinds in LATIN_LOOKALIKES.values() for k in kinds)
     target = "".join(sign for sign, kinds in LATIN_LOOKALIKES.items() for _ in kinds)
     if every_word:
@@ -116,11 +123,20 @@ def bare_form(text: Column) -> Column:
 
     What remains are words parted by one blank; the null text gives the empty string.
     """
-    t = F.lower(look_form(F.coalesce(text, F.lit(""))))
-    t = F.regexp_replace(t, r"[֑-ׇֽֿׁׂׅׄ'\"]", "")
+    return bare_of_look(look_form(F.coalesce(text, F.lit(""))))
+
+
+def bare_of_look(look: Column) -> Column:
+    t = F.regexp_replace(F.lower(look), r"[֑-ׇֽֿׁׂׅׄ'\"]", "")
     return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}\p{M}]+", " "))
 
 
+def with_bare_form(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` with ``bare_form`` of column ``text`` as column ``name``, its steps as columns of their own, so that each is computed once a row."""
+    steps = rows.withColumn(name, F.regexp_replace(F.coalesce(F.col(text), F.lit("")), INVISIBLE, "")).withColumn(name, typed_form(F.col(name)))
+    return steps.withColumn(name, look_of_typed(F.col(name))).withColumn(name, bare_of_look(F.col(name)))
+
+
 def bare_words(text: Column) -> Column:
     """The words of ``bare_form``, an empty array if there are none."""
     return F.filter(F.split(bare_form(text), " "), lambda w: w != "")

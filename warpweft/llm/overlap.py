@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from warpweft.llm.lookalike import bare_words
+from warpweft.llm.lookalike import with_bare_form
 from warpweft.plans.session import forgotten, written
 
 #: Buckets of the word counts by which rarity is judged: the size of what is collected and sent.
@@ -29,7 +29,7 @@ BUCKETS = 1 << 16
 #: Bits of a text's signature, and how many of them one common word has for itself; all other words share the rest.
 BITS, OWN_BITS = 128, 96
 #: Rounds in which the keys are joined: one for so many words, but no more than so many, as each reads all texts.
-WORDS_A_ROUND, MOST_ROUNDS = 2_000_000, 8
+WORDS_A_ROUND, MOST_ROUNDS = 2_000_000, 4
 #: Words whose keys are made at once.
 WORDS_AT_ONCE = 1_000_000
 #: Marks of keys: anywhere in a text, at its beginning, at its end.
@@ -110,8 +110,8 @@ def _listed(text: np.ndarray, keys: np.ndarray, n_texts: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[new].view(np.int64)))
 
 
-def keyed_texts(batch: pa.RecordBatch, counts: np.ndarray, turn: int, rounds: int) -> Iterator[pa.RecordBatch]:
-    """``(uid, n, bits_a, bits_b, e_keys, t_keys)``: the texts of a batch with their keys of one round, as evaluation and as training texts."""
+def keyed_texts(batch: pa.RecordBatch, counts: np.ndarray, evaluation: bool, turn: int, rounds: int) -> Iterator[pa.RecordBatch]:
+    """``(uid, n, bits_a, bits_b, keys)``: the texts of a batch with their keys of one round, as evaluation or as training texts."""
     lists = batch.column("words")
     offsets = np.asarray(lists.offsets).astype(np.int64)
     flat_all = np.asarray(lists.values).view(np.uint64)
@@ -119,16 +119,12 @@ def keyed_texts(batch: pa.RecordBatch, counts: np.ndarray, turn: int, rounds: in
     while a < batch.num_rows:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + WORDS_AT_ONCE, "right")) - 1)
         flat, begin, n = flat_all[offsets[a] : offsets[b]], offsets[a:b] - offsets[a], np.diff(offsets[a : b + 1])
-        part = batch.slice(a, b - a)
         segments, windows = segment_keys(flat, begin, n, counts), window_keys(flat, begin, n)
-        lists_of = []
-        for side, (plain, turned) in (("in_eval", (segments, windows)), ("in_train", (windows, segments))):
-            text, keys = np.concatenate([plain[0], turned[0]]), np.concatenate([plain[1], turned[1] ^ TRAIN_LONGER])
-            there = np.asarray(part.column(side).to_numpy(zero_copy_only=False), bool)
-            kept = there[text] & ((keys >> np.uint64(8)) % np.uint64(rounds) == turn)
-            lists_of.append(_listed(text[kept], keys[kept], b - a))
+        plain, turned = (segments, windows) if evaluation else (windows, segments)
+        text, keys = np.concatenate([plain[0], turned[0]]), np.concatenate([plain[1], turned[1] ^ TRAIN_LONGER])
+        kept = (keys >> np.uint64(8)) % np.uint64(rounds) == turn
         bits = [pa.array(s.view(np.int64)) for s in signatures(flat, begin, counts)]
-        yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(n.astype(np.int32)), *bits, *lists_of], names=["uid", "n", "bits_a", "bits_b", "e_keys", "t_keys"])
+        yield pa.RecordBatch.from_arrays([batch.column("uid").slice(a, b - a), pa.array(n.astype(np.int32)), *bits, _listed(text[kept], keys[kept], b - a)], names=["uid", "n", "bits_a", "bits_b", "keys"])
         a = b
 
 
@@ -143,10 +139,11 @@ def distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     A text is told from all others by two independent hashes of its canonical form, ``uid`` and ``chk``.
     """
     rows = rows.select(*[c for c in ("side", "id", "text", "split", "source") if c in rows.columns])
-    bare = rows.withColumn("bare", bare_words(F.col("text"))).drop("text").withColumn("canon", F.array_join("bare", " "))
-    hashed = bare.withColumn("uid", F.xxhash64("canon")).withColumn("chk", F.xxhash64(F.lit("chk"), "canon")).withColumn("words", F.transform("bare", lambda w: F.xxhash64(w)))
+    bare = with_bare_form(rows, "text", "canon").drop("text")
+    words = F.transform(F.filter(F.split("canon", " "), lambda w: w != ""), lambda w: F.xxhash64(w))
+    hashed = bare.withColumn("uid", F.xxhash64("canon")).withColumn("chk", F.xxhash64(F.lit("chk"), "canon")).withColumn("words", words)
     # Written once: canonicalising is the dearest step and its result is read for texts and for both sides' rows. Texts without a word go after it, since a filter before it would canonicalise twice.
-    rows = written(hashed.drop("bare", "canon"))[0].where("size(words) > 0")
+    rows = written(hashed.drop("canon"))[0].where("size(words) > 0")
     texts = rows.groupBy("uid", "chk").agg(F.first("words").alias("words"), F.max(F.col("side") == "train").alias("in_train"), F.max(F.col("side") == "eval").alias("in_eval"))
     return rows.drop("words"), texts
 
@@ -173,8 +170,11 @@ def met_texts(texts: DataFrame) -> tuple[DataFrame, list[str]]:
     counts = word_counts(texts)
     sent, rounds = spark.sparkContext.broadcast(counts), min(MOST_ROUNDS, 1 + int(counts.sum()) // WORDS_A_ROUND)
 
-    def keys_of(turn: int):
-        return lambda batches: (made for batch in batches for made in keyed_texts(batch, sent.value, turn, rounds))
+    def keyed(name: str, turn: int) -> DataFrame:
+        made = lambda batches: (m for batch in batches for m in keyed_texts(batch, sent.value, name == "eval", turn, rounds))
+        side = texts.where(f"in_{name}").select("uid", "words").mapInArrow(made, "uid bigint, n int, bits_a bigint, bits_b bigint, keys array<bigint>")
+        x = name[0]
+        return side.select(F.col("uid").alias(f"uid_{name}"), F.col("n").alias(f"n_{x}"), F.col("bits_a").alias(f"a_{x}"), F.col("bits_b").alias(f"b_{x}"), F.explode("keys").alias("key"))
 
     # Words of a text that have no equal in its partner: as many as edits at most; fewer by what it is shorter.
     longer = "greatest(n_e, n_t)"
@@ -182,9 +182,7 @@ def met_texts(texts: DataFrame) -> tuple[DataFrame, list[str]]:
     possible = f"3 * least(n_e, n_t) > 2 * {longer} AND {left('e', 't')} AND {left('t', 'e')} AND uid_eval <> uid_train"
     found = []
     for turn in range(rounds):
-        keyed = texts.select("uid", "words", "in_train", "in_eval").mapInArrow(keys_of(turn), "uid bigint, n int, bits_a bigint, bits_b bigint, e_keys array<bigint>, t_keys array<bigint>")
-        sides = {x: keyed.select(F.col("uid").alias(f"uid_{name}"), F.col("n").alias(f"n_{x}"), F.col("bits_a").alias(f"a_{x}"), F.col("bits_b").alias(f"b_{x}"), F.explode(f"{x}_keys").alias("key")) for x, name in (("e", "eval"), ("t", "train"))}
-        found.append(written(shuffled(sides["e"], sides["t"], "key").where(possible).select("uid_eval", "uid_train").distinct(), free_shuffles=True))
+        found.append(written(shuffled(keyed("eval", turn), keyed("train", turn), "key").where(possible).select("uid_eval", "uid_train").distinct(), free_shuffles=True))
     return reduce(DataFrame.unionByName, [met for met, _ in found]).distinct(), [path for _, path in found]
 
 
